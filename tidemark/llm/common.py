@@ -45,3 +45,18 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"columns missing: {missing}")
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: Rows up to which a narrow table (ids, hashes, a short text) may be sent to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, counted now; beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def lower_ascii(text):
+    """A-Z in lower case and nothing else. lower() does that where there are no other letters."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))

@@ -88,7 +88,7 @@ def normalise(source: bytes, chars: CharacterMap, dummy_prefix: bool, trim: bool
             spaced = byte == 32
     end = pieces[-1][1] if pieces else len(source)
     if trim:
-        while out.endswith(mark) and len(out) > (len(mark) if dummy_prefix else 0):
+        while out.endswith(mark):
             end = where[len(out) - len(mark)]
             del out[-len(mark) :], where[-len(mark) :]
     return bytes(out), np.array([*where, end], np.int64)

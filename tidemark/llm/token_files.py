@@ -2,7 +2,7 @@
 
 Documents in ascending id order are encoded, an end id follows each, and the ids are laid end to end into sequences
 of one length, written as record batches of two fixed-size-list columns (`ids`, `mask`) in the Arrow file format.
-A batch can be mapped into memory and sequence k read at once without a copy; the mask is 0 behind a file's last id.
+A batch can be mapped into memory and sequence k read at once without a copy; the mask is false behind a file's last id.
 Each range of ids gets one file, and a second one with the place of each document in it. Files take their names only
 when whole, so a task that is run again replaces nothing by halves.
 
@@ -84,7 +84,7 @@ class SequenceWriter:
     def __init__(self, fs: pafs.FileSystem, path: str, dtype: str, length: int, batch: int):
         self.dtype, self.length, self.rows = np.dtype(dtype), length, batch
         kind = pa.uint16() if self.dtype.itemsize == 2 else pa.uint32()
-        self.schema = pa.schema([("ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
         self.sink = fs.open_output_stream(path)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.held, self.size = [], 0
@@ -101,7 +101,7 @@ class SequenceWriter:
             self.held, self.size = [data[whole:]], len(data) - whole
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
+        mask = np.arange(len(ids)) < real
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x, f.type.value_type), type=f.type) for x, f in zip((ids, mask), self.schema)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
 
@@ -130,11 +130,10 @@ class SequenceReader:
             self._at, self._ids = k, column.values.to_numpy(zero_copy_only=True)
         return self._ids
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k."""
+    def sequence(self, k: int) -> tuple[pa.Array, ...]:
+        """Ids and mask of sequence k: slices of the file's own buffers (a mask takes one bit an id)."""
         b = self.file.get_batch(k // self.rows)
-        at = k % self.rows * self.length
-        return tuple(b.column(i).values.to_numpy(zero_copy_only=True)[at : at + self.length] for i in range(2))
+        return tuple(b.column(i).values.slice(k % self.rows * self.length, self.length) for i in range(2))
 
     def crc32(self, start: int, n: int) -> int:
         """crc32 of n ids from start on, as little-endian unsigned 32-bit integers."""
