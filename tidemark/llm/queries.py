@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tidemark.llm import decontamination, embedding_dedup, line_dedup, pieces, sharding, simhash, token_counts, token_files
+from tidemark.llm import decontamination, embedding_dedup, language, line_dedup, pieces, quality, sharding, simhash, token_counts, token_files
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -41,13 +41,21 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_token_files, op4_pieces, op5_line_dedup, op6_embedding_dedup, op8_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_token_files, op4_pieces, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_decontamination, op9_language, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
