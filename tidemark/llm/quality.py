@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import need, sent_if_small, written
 from tidemark.llm.segments import Remembered
 
-#: Buckets of words and pairs, buckets of shapes, labelled documents used, and the weight of the even prior.
-WORD_BUCKETS, SHAPE_BUCKETS, LABELLED, SMOOTHING = 12_288, 4_096, 20_000, 1.0
+#: Buckets of words and pairs, buckets of shapes, labelled documents used, and the raw corpus's weight in the target model, in counts a bucket.
+WORD_BUCKETS, SHAPE_BUCKETS, LABELLED, SMOOTHING = 12_288, 4_096, 20_000, 2.0
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 #: Ranges of one counting step, and documents in a range from which it need not be narrowed further.
 RANGES, FEW = 1024, 2_000
@@ -92,8 +92,9 @@ def log_ratio(rows: DataFrame) -> np.ndarray:
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():  # BUCKETS rows at most
         raw[r.bucket], target[r.bucket] = r.raw, r.target
-    share = lambda c: (c + SMOOTHING) / (c + SMOOTHING).sum()
-    return np.log(share(target)) - np.log(share(raw))
+    share = (raw + 0.5) / (raw + 0.5).sum()
+    pulled = target + SMOOTHING * BUCKETS * share  # where little is known, the target is taken to be like the raw corpus
+    return np.log(pulled / pulled.sum()) - np.log(share)
 
 
 def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
