@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
 from tidemark.functions.timeframes import DURATION_MS, expected_latest_closed, freshness
-from tidemark.operators import decision, paging, predicates, reports, structure
+from tidemark.operators import decision, paging, predicates, reports, scoring, structure, zones
 from tidemark.plans import sql
 from tidemark.sources import bridge, upserts
 
@@ -352,6 +352,38 @@ def dealing_ranges(s, d):
     return structure.dealing_ranges(structure.structure_events(structure.horizon(hourly(s, d)), 5, 5))
 
 
+@query()
+def liquidity_levels(s, d):
+    return zones.liquidity_levels(structure_rows(s, d), 5, 5)
+
+
+LEVELS = f"""WITH RECURSIVE {sql.HOURLY}, {sql.recursive(sql.cut(500))}, pv AS ({sql.pivots(5, 5, 'high')} UNION ALL {sql.pivots(5, 5, 'low')}),
+  lv AS (SELECT pv.*, i.rn AS created FROM pv JOIN i ON i.exchange = pv.exchange AND i.open_ms + 3600000 = pv.confirmed_ms),
+  pr AS (SELECT lv.exchange, lv.kind, lv.price, lv.event_ms, i.rn, i.open_ms + 3600000 AS at_ms, CASE WHEN (kind = 'high' AND i.close > price) OR (kind = 'low' AND i.close < price) THEN 'BROKEN'
+    WHEN (kind = 'high' AND i.high >= price + 0.05 * atr14 AND i.close < price) OR (kind = 'low' AND i.low <= price - 0.05 * atr14 AND i.close > price) THEN 'SWEPT' WHEN i.rn - created >= 100 THEN 'EXPIRED' END AS what
+    FROM lv JOIN i ON i.exchange = lv.exchange AND i.rn > lv.created),
+  fin AS (SELECT * FROM pr WHERE what IS NOT NULL QUALIFY row_number() OVER (PARTITION BY exchange, kind, event_ms ORDER BY rn) = 1)
+  SELECT lv.exchange, CASE WHEN lv.kind = 'high' THEN 'BUY_SIDE' ELSE 'SELL_SIDE' END AS side, round(lv.price, 6) AS price, lv.event_ms, coalesce(what, 'OPEN') AS state, at_ms AS resolved_ms
+  FROM lv LEFT JOIN fin ON fin.exchange = lv.exchange AND fin.kind = lv.kind AND fin.event_ms = lv.event_ms"""
+
+
+@query(LEVELS)
+def liquidity_structural(s, d):
+    levels = zones.liquidity_levels(structure_rows(s, d), 5, 5, age=100).where("origin = 'STRUCTURAL'")
+    return rounded(levels.select("exchange", "side", "price", "event_ms", "state", "resolved_ms"))
+
+
+@query()
+def order_blocks_internal(s, d):
+    rows = structure_rows(s, d)
+    return zones.order_blocks(rows, structure.structure_events(rows, 3, 3), structure.gaps(rows), zones.liquidity_levels(rows, 3, 3))
+
+
+@query()
+def structure_scores(s, d):
+    return scoring.score_series(structure_rows(s, d))
+
+
 # Decisions
 
 TREND_SQL = """, t1 AS (SELECT exchange, open_ms, close, volume_ratio,
