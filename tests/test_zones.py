@@ -28,7 +28,7 @@ def test_level_is_swept_broken_or_left(spark):
     flat = [(10.0, 11.0, 9.0, 10.0)] * 20
     peak = flat + [(10.0, 15.0, 9.0, 10.0)] + [(10.0, 11.0 - 0.01 * i, 9.0 + 0.01 * i, 10.0) for i in range(1, 4)]
     for last, want in (((10, 15.5, 9, 14), "SWEPT"), ((10, 15.5, 9, 15), "OPEN"), ((10, 15.5, 9, 15.1), "BROKEN"), ((10, 15.0001, 9, 14), "OPEN")):
-        levels, _ = facts(spark, peak + [last])
+        levels = zones.liquidity_levels(structure.prepared(bars(spark, peak + [last])), 3, 3).collect()
         top = [r for r in levels if r.side == "BUY_SIDE" and r.event_ms == 20 * H]
         assert [(r.price, r.state) for r in top] == [(15.0, want)]
 
@@ -37,7 +37,7 @@ def test_equal_highs_make_one_cluster(spark):
     rows = []
     for top in (15.0, 15.05, 13.0):
         rows += [(10.0, 11.0 + 0.1 * i, 9.0 + 0.1 * i, 10.0 + 0.1 * i) for i in range(8)] + [(10.5, top, 9.5, 10.5)] + [(10.0, 11.0 - 0.1 * i, 9.0 - 0.1 * i, 10.0 - 0.1 * i) for i in range(8)]
-    levels, _ = facts(spark, rows)
+    levels = zones.liquidity_levels(structure.prepared(bars(spark, rows)), 3, 3).collect()
     equal = [r for r in levels if r.origin == "EQUAL" and r.side == "BUY_SIDE"]
     assert [(r.price, r.event_ms // H) for r in equal] == [(15.05, 25)] and equal[0].created_ms // H == 25 + 3 + 2 + 1
 
