@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 SERIES = ["exchange", "timeframe"]
 #: Periods of a snapshot.
 EMA_PERIODS, RSI, MACD, ATR, VOLUME = (20, 50, 200), 14, (12, 26, 9), 14, 20
+PERIODS = {"ema": EMA_PERIODS, "rsi": RSI, "macd": MACD, "atr": ATR, "volume": VOLUME}
+
+
+def minimum_candles(periods: dict = PERIODS) -> int:
+    """Closed candles that an analysis takes."""
+    return max(periods["ema"][2], periods["rsi"] + 1, periods["macd"][1] + periods["macd"][2], periods["atr"] + 1, periods["volume"])
 
 
 def by_time() -> W:
@@ -86,15 +92,17 @@ def atr(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int = ATR)
 ADDED = "ema20 double, ema50 double, ema200 double, rsi14 double, macd double, macd_signal double, macd_hist double, atr14 double"
 
 
-def with_indicators(candles: DataFrame) -> DataFrame:
-    """Closed candles with their recursive indicators and the 20-bar volume mean and ratio, one kernel call a series."""
+def with_indicators(candles: DataFrame, periods: dict = PERIODS) -> DataFrame:
+    """Closed candles with their recursive indicators and the volume's mean and ratio, one kernel call a series.
+
+    Columns keep the names of the standard periods, whatever periods stand behind them."""
     columns = ["exchange", "timeframe", "open_ms", "open", "high", "low", "close", "volume"]
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("open_ms")
         close, high, low = (rows[c].to_numpy(float) for c in ("close", "high", "low"))
-        line, signal = macd(close, *MACD)
-        made = [ema(close, p) for p in EMA_PERIODS] + [rsi(close), line, signal, line - signal, atr(high, low, close)]
+        line, signal = macd(close, *periods["macd"])
+        made = [ema(close, p) for p in periods["ema"]] + [rsi(close, periods["rsi"]), line, signal, line - signal, atr(high, low, close, periods["atr"])]
         names = [f.split()[0] for f in ADDED.split(", ")]
         # A NaN would be a value; what is not there yet is null.
         return rows.assign(**{n: pd.Series(v, index=rows.index, dtype="Float64").where(~np.isnan(v), pd.NA).astype(object).where(~np.isnan(v), None) for n, v in zip(names, made)})
@@ -102,7 +110,7 @@ def with_indicators(candles: DataFrame) -> DataFrame:
     closed = candles.where("closed").select(*columns)
     kinds = dict(closed.dtypes)
     out = closed.groupBy(*SERIES).applyInPandas(kernel, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", " + ADDED)
-    out = out.withColumn("volume_mean", sma("volume", VOLUME))
+    out = out.withColumn("volume_mean", sma("volume", periods["volume"]))
     return out.withColumn("volume_ratio", F.when(F.col("volume_mean") > 0, F.col("volume") / F.col("volume_mean")))
 
 

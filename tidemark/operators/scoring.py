@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import SERIES
 from tidemark.operators import structure, zones
+from tidemark.sources.tables import settled
 
 # Weights (their sum is 100), bars up to which facts are fresh, and the score that gives a direction.
 WEIGHTS = {"swing": 20, "bos": 15, "internal": 10, "sweep": 10, "swing_block": 15, "internal_block": 5, "gap": 10, "range": 10, "overlap": 5}
@@ -38,19 +39,19 @@ def latest(facts: DataFrame, at: str, fresh: int, last: DataFrame, fields: list[
 def score_series(rows: DataFrame, swing: int = SWING, internal: int = INTERNAL, weights: dict = WEIGHTS, minimum: int = MINIMUM) -> DataFrame:
     """rows: structure.prepared. A series that cannot be evaluated has a status and no scores, which is not NEUTRAL.
 
-    Facts that several components rest on are cached: worked out once, and again by Spark if an executor is lost."""
-    rows = rows.persist()
+    Facts that several components rest on are settled first: five hundred candles a series and what is found in them."""
+    rows = settled(rows)
     closes = F.array_sort(F.collect_list(F.struct("close_ms", "i")))  # the cut of a series at most
     last = rows.groupBy(*SERIES).agg(F.count("*").alias("bars"), F.max("i").alias("last_i"), F.max_by("close", "i").alias("price"), F.max_by("atr14", "i").alias("atr"), closes.alias("closes"))
     pivots = structure.both_pivots(rows, swing, swing)
     have = pivots.groupBy(*SERIES).agg(F.count_if(F.col("kind") == "high").alias("highs"), F.count_if(F.col("kind") == "low").alias("lows"))
-    swing_events, inner_events = (structure.structure_events(rows, n, n).persist() for n in (swing, internal))
-    gaps = structure.gaps(rows).persist()
-    levels, inner_levels = (zones.liquidity_levels(rows, n, n, age=0).persist() for n in (swing, internal))
+    swing_events, inner_events = (settled(structure.structure_events(rows, n, n)) for n in (swing, internal))
+    gaps = settled(structure.gaps(rows))
+    levels, inner_levels = (settled(zones.liquidity_levels(rows, n, n, age=0)) for n in (swing, internal))
     lives = structure.gap_lives(rows, gaps, 0).where("state in ('OPEN', 'TOUCHED', 'CE')")
     active = "state in ('OPEN', 'MITIGATED')"
-    blocks = zones.order_blocks(rows, swing_events, gaps, levels).where(active)
-    inner_blocks = zones.order_blocks(rows, inner_events, gaps, inner_levels).where(active)
+    blocks = settled(zones.order_blocks(rows, swing_events, gaps, levels).where(active))
+    inner_blocks = settled(zones.order_blocks(rows, inner_events, gaps, inner_levels).where(active))
     ranges = structure.dealing_ranges(swing_events).where("closed_ms is null").select(*SERIES, "low", "high")
     zone = ["dir", "bottom", "top"]
     out = last.join(have, SERIES, "left").join(phase(swing_events, "swing_phase"), SERIES, "left").join(phase(inner_events, "internal_phase"), SERIES, "left").join(ranges, SERIES, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
 from tidemark.functions.timeframes import DURATION_MS, expected_latest_closed, freshness
-from tidemark.operators import decision, paging, predicates, reports, scoring, structure, zones
+from tidemark.operators import decision, evaluation, journal, paging, predicates, reports, scoring, structure, zones
 from tidemark.plans import sql
 from tidemark.sources import bridge, upserts
 
@@ -103,7 +103,7 @@ def closed_open_totals(s, d):
 
 @query(WITH_ALL + f"""SELECT exchange, timeframe, last_ms, CASE WHEN age <= 2 * w THEN 'fresh' WHEN age <= 6 * w THEN 'delayed' ELSE 'stale' END AS freshness FROM (
   SELECT exchange, timeframe, max(open_ms) FILTER (closed) AS last_ms, CASE timeframe WHEN '15m' THEN 900000 WHEN '1h' THEN 3600000 WHEN '4h' THEN 14400000 ELSE 86400000 END AS w,
-  greatest((SELECT max(epoch_ms(ts)) FROM events) - max(open_ms) FILTER (closed), 0) AS age FROM c GROUP BY ALL)""")
+  greatest((SELECT max((epoch_us(ts) // 1000)) FROM events) - max(open_ms) FILTER (closed), 0) AS age FROM c GROUP BY ALL)""")
 def candle_freshness(s, d):
     last = reports.counts_by_market(every(s, d), closed_last=True).crossJoin(F.broadcast(bridge.events_now(events(s, d))))  # one row
     state = F.lit(None).cast("string")
@@ -412,7 +412,7 @@ def exchange_vote(s, d):
 
 
 @query(WITH_1H + f""", g AS (SELECT open_ms, count(DISTINCT exchange) AS k FROM c WHERE closed GROUP BY open_ms), p AS (SELECT count(DISTINCT exchange) AS participants FROM c), x AS (SELECT count(*) AS shared, max(open_ms) AS common_ms FROM g, p WHERE k = participants), n AS (SELECT max(open_ms) AS newest_ms FROM g),
-  y AS (SELECT 'EVT' AS asset, participants, shared, common_ms, newest_ms, (newest_ms - common_ms) // {H} AS relative_lag, ((SELECT max(epoch_ms(ts)) FROM events) // {H} * {H} - {H} - common_ms) // {H} AS absolute_lag FROM p, x, n)
+  y AS (SELECT 'EVT' AS asset, participants, shared, common_ms, newest_ms, (newest_ms - common_ms) // {H} AS relative_lag, ((SELECT max((epoch_us(ts) // 1000)) FROM events) // {H} * {H} - {H} - common_ms) // {H} AS absolute_lag FROM p, x, n)
   SELECT *, CASE WHEN common_ms IS NULL THEN 'no_common_horizon' WHEN relative_lag > 3 THEN 'relative_lag_stale' WHEN absolute_lag < 0 THEN 'future_horizon' WHEN absolute_lag > 1 THEN 'absolute_stale' ELSE 'ok' END AS status FROM y""")
 def common_horizon(s, d):
     c = hourly(s, d).withColumn("asset", F.lit("EVT"))
@@ -426,8 +426,37 @@ def candle_alignment(s, d):
     return decision.alignment(last, ["timeframe"], "1h")
 
 
-@query(WITH_1H + f"SELECT exchange, max(open_ms) AS last_ms, ((SELECT max(epoch_ms(ts)) FROM events) // {H} * {H} - {H} - max(open_ms)) // {H} AS bars_behind FROM c WHERE closed GROUP BY exchange")
+@query(WITH_1H + f"SELECT exchange, max(open_ms) AS last_ms, ((SELECT max((epoch_us(ts) // 1000)) FROM events) // {H} * {H} - {H} - max(open_ms)) // {H} AS bars_behind FROM c WHERE closed GROUP BY exchange")
 def bars_behind_clock(s, d):
     now = bridge.events_now(events(s, d))
     last = hourly(s, d).where("closed").groupBy("exchange").agg(F.max("open_ms").alias("last_ms")).crossJoin(F.broadcast(now))  # one row
     return last.select("exchange", "last_ms", ((expected_latest_closed(F.col("now_ms"), H) - F.col("last_ms")) / H).cast("long").alias("bars_behind"))
+
+
+CUSTOM = {"ema": (10, 30, 100), "rsi": 7, "macd": (6, 13, 5), "atr": 10, "volume": 10}
+
+
+@query()
+def trend_score_custom_periods(s, d):
+    c = hourly(s, d)
+    return evaluation.evaluate_custom(ind.snapshots(c), c, CUSTOM)
+
+
+@query()
+def structure_at_common_horizon(s, d):
+    c = hourly(s, d).withColumn("asset", F.lit("EVT"))
+    now = bridge.events_now(events(s, d)).first().now_ms  # one row
+    return evaluation.structure_at_horizon(c, "1h", now, ["asset"])
+
+
+@query()
+def structure_overlay(s, d):
+    return evaluation.overlay(structure_rows(s, d))
+
+
+@query("""SELECT seq, ts, level, CASE WHEN m LIKE '[%' AND regexp_extract(m, '^\\[([^\\]]{1,40})\\]', 1) <> '' THEN regexp_extract(m, '^\\[([^\\]]{1,40})\\]', 1) ELSE 'app' END AS source, m AS message FROM (
+  SELECT event_id AS seq, (epoch_us(ts) // 1000) AS ts, upper(event_type) AS level, '[' || event_type || '] user ' || user_id || ' ' || props AS m FROM events ORDER BY event_id DESC LIMIT 500)""")
+def journal_entries(s, d):
+    text = F.concat(F.lit("[ "), "event_type", F.lit("]  user "), F.col("user_id").cast("string"), F.lit("\n"), "props")
+    lines = events(s, d).select(F.col("event_id").alias("seq"), bridge.epoch_ms("ts").alias("ts"), F.upper("event_type").alias("level"), F.regexp_replace(text, r"\[ ", "[").alias("message"))
+    return journal.journal(lines)

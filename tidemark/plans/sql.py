@@ -7,10 +7,10 @@ from tidemark.functions.timeframes import DURATION_MS
 
 def candles(timeframe: str) -> str:
     w = DURATION_MS[timeframe]
-    return f"""SELECT event_type AS exchange, '{timeframe}' AS timeframe, (epoch_ms(ts) // {w}) * {w} AS open_ms,
+    return f"""SELECT event_type AS exchange, '{timeframe}' AS timeframe, ((epoch_us(ts) // 1000) // {w}) * {w} AS open_ms,
       first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close,
-      count(*)::DOUBLE AS volume, (epoch_ms(ts) // {w}) * {w} + {w} <= (SELECT max(epoch_ms(ts)) FROM events) AS closed
-      FROM events GROUP BY event_type, (epoch_ms(ts) // {w}) * {w}"""
+      count(*)::DOUBLE AS volume, ((epoch_us(ts) // 1000) // {w}) * {w} + {w} <= (SELECT max((epoch_us(ts) // 1000)) FROM events) AS closed
+      FROM events GROUP BY event_type, ((epoch_us(ts) // 1000) // {w}) * {w}"""
 
 
 ALL = "c AS (" + " UNION ALL ".join(candles(t) for t in ("15m", "1h", "4h", "1d")) + ")"
