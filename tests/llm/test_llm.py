@@ -187,9 +187,10 @@ def test_covering_masks_cover():
             assert any(not m & (1 << i | 1 << j) for m in masks)
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 30, 1000])
+def test_components_of_a_chain_and_a_star(spark, few):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(5, 5)]
-    found = components.components(spark.createDataFrame(links, "u long, v long")).collect()
+    found = components.components(spark.createDataFrame(links, "u long, v long"), few).collect()
     labels = {r.node: r.label for r in found}
     assert len({labels[i] for i in range(61)}) == 1 and len({labels[1000 + i] for i in range(40)}) == 1 and labels[0] != labels[1000]
 

@@ -59,8 +59,9 @@ def tables_for(n: int, bits: int, threshold: float, found: float = FOUND) -> lis
     return [sorted(draw.sample(range(bits), width)) for _ in range(count)]
 
 
-def as_matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), dim)
+def as_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([np.asarray(c.flatten(), dtype=np.float64).reshape(len(c), dim) for c in parts]) if parts else np.empty((0, dim))
 
 
 def compare(ids: np.ndarray, codes: np.ndarray, weights: np.ndarray, x: np.ndarray, sides: np.ndarray, table: int, masks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +98,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reps = rows.where(good).groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     n = reps.count()
-    drawn = reps.orderBy(F.xxhash64("vector"), "rep").limit(sample).select("vector").toPandas()["vector"]  # `sample` rows at most
-    x = np.array(drawn.tolist(), np.float64).reshape(len(drawn), dim)
+    drawn = reps.orderBy(F.xxhash64("vector"), "rep").limit(sample).select("vector").toArrow()  # `sample` rows at most
+    x = as_matrix(drawn.column(0), dim)
     scale = np.abs(x).max(axis=1, keepdims=True) if len(x) else 1
     x = x / scale
     mean, turn = fit_rotation(x / np.linalg.norm(x, axis=1, keepdims=True)) if len(x) else (np.zeros(dim), np.eye(dim)[:, : min(64, dim)])

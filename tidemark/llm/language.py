@@ -66,8 +66,14 @@ def fit(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col
     """Languages, codewords, weights (features x bits), and how reliable each bit is."""
     rows = need(docs, id_col, text_col, lang_col).toDF("id", "text", "lang")
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull())
+    # A hash share of each language that holds about 1.5 times as many as wanted, so that no language's ids meet in one
+    # task; the ranking then works on what is left of them.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), 1.5 * per_language / F.col("n"))
+    drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)
+    few = rows.select("id", "lang").join(F.broadcast(counts), "lang").where(drawn)  # a row per language
     nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "lang").withColumn("nth", nth).where(F.col("nth") <= per_language).select("id").distinct()
+    chosen = few.withColumn("nth", nth).where(F.col("nth") <= per_language).select("id").distinct()
     sample = rows.where("text is not null").join(F.broadcast(chosen), "id", "left_semi")  # per_language ids a language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
