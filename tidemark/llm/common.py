@@ -64,3 +64,16 @@ def lower_ascii(text):
     """A-Z in lower case and nothing else. lower() does that where there are no other letters."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+#: Texts of one Arrow batch: a few MB, where Spark's default of 10,000 rows takes tens of MB in the executor and again in each of its Python workers.
+BATCH_TEXTS = 500
+
+
+def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
+    """rows.mapInArrow over small batches. Spark has only a session's setting for their size, and reads it when the
+    plan runs, so it stays set; a session that has its own size keeps it."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_TEXTS))
+    return rows.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import need
+from tidemark.llm.common import map_texts, need
 from tidemark.llm.segments import Remembered, split_before_breaks
 
 SPACE = "▁"
@@ -120,7 +120,7 @@ class PieceEncoder:
         user = any(p.type == 4 for p in model.pieces)
         self.cuttable = self.identity and model.trainer_spec.model_type == 2 and not user and not self.sp.is_unknown(self.sp.piece_to_id("<0x0A>")) and not any(map(crosses, names))
         self.bos, self.eos = self.sp.bos_id(), self.sp.eos_id()
-        self.known = Remembered(self._part)
+        self.known = Remembered(self._part, 100_000)
         self.lone = self.sp.piece_to_id(SPACE)
 
     def _part(self, part: str) -> bytes:
@@ -190,7 +190,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     rows = need(docs, id_col, text_col)
     schema = f"id {dict(rows.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long"
     schema += ", ids array<int>, begins array<long>, ends array<long>" if with_ids else ""
-    return rows.toDF("id", "text").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_texts(rows.toDF("id", "text"), run, schema).withColumnRenamed("id", id_col)
 
 
 def decode_ids(ids: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -202,4 +202,4 @@ def decode_ids(ids: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else e.sp.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     rows = need(ids, id_col, ids_col)
-    return rows.toDF("id", "ids").mapInArrow(run, f"id {dict(rows.dtypes)[id_col]}, text string").select(F.col("id").alias(id_col), "text")
+    return map_texts(rows.toDF("id", "ids"), run, f"id {dict(rows.dtypes)[id_col]}, text string").select(F.col("id").alias(id_col), "text")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import need, sent_if_small, written
+from tidemark.llm.common import map_texts, need, sent_if_small, written
 from tidemark.llm.segments import Remembered
 
 #: Buckets of words and pairs, buckets of shapes, labelled documents used, and the raw corpus's weight in the target model, in counts a bucket.
@@ -48,7 +48,7 @@ def describe(word: bytes) -> int:
     return crc32(word) << 32 | crc32(b"%d/%d/%s" % (case, not body.isascii(), closing))
 
 
-_words = Remembered(describe, 200_000)
+_words = Remembered(describe, 50_000)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -88,7 +88,7 @@ def log_ratio(rows: DataFrame) -> np.ndarray:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (some, raw[some], target[some])], ["bucket", "raw", "target"])
 
-    counts = rows.select("text", "quality").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = map_texts(rows.select("text", "quality"), count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():  # BUCKETS rows at most
         raw[r.bucket], target[r.bucket] = r.raw, r.target
@@ -147,7 +147,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(s, pa.float64())], ["id", "th", "quality", "log_weight"])
 
     kind = dict(rows.dtypes)["id"]
-    scored = rows.select("id", "text", F.xxhash64("text").alias("th"), "quality").mapInArrow(score, f"id {kind}, th long, quality int, log_weight double")
+    scored = map_texts(rows.select("id", "text", F.xxhash64("text").alias("th"), "quality"), score, f"id {kind}, th long, quality int, log_weight double")
     u = (F.shiftrightunsigned(F.xxhash64("id", "th", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     scored = written(scored.withColumn("noisy", F.col("log_weight") - F.log(-F.log(u))), "weights")
     known = scored.where("quality is not null").select("log_weight", "quality").limit(10 * labelled).toPandas()  # a row for each used label; more only for repeated rows

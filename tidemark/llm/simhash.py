@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import need, written
+from tidemark.llm.common import map_texts, need, written
 from tidemark.llm.components import components
 
 #: Fingerprints of a bucket up to which its pairs are compared.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
     rows = need(docs, id_col, text_col).toDF("id", "text")
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long")
+    return map_texts(rows, run, f"id {dict(rows.dtypes)['id']}, fp long")
 
 
 def covering_masks(radius: int = 2, bits: int = 64) -> list[int]:
