@@ -105,6 +105,12 @@ def test_normalisation_as_the_library(texts, rule):
         assert len(where) == len(got) + 1 and (np.diff(where) >= 0).all() and where[-1] <= len(x.encode())
 
 
+def test_pieces_of_texts_with_the_mark_itself():
+    e = pieces.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    for x in ("x▁ ▁y", "▁ ▁", "a ▁▁ b", "one ▁two three▁ four", "x▁\n▁y", "a▁ b"):
+        assert e.encode(x).tolist() == e.sp.encode(x)
+
+
 def test_sharding(spark, texts):
     df = frame(spark, texts)
     got = sharding.shard_rows(df, 8).collect()

@@ -134,8 +134,9 @@ class PieceEncoder:
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids without begin and end."""
-        parts = split_before_breaks(text) if self.cuttable else None
+        """Ids without begin and end. A text that holds the mark itself has spaces in runs or at ends where none show,
+        and takes the library's whole way."""
+        parts = split_before_breaks(text) if self.cuttable and SPACE not in text else None
         if parts is None or parts[0][0] == "\n":
             return np.array(self.sp.encode(text), "<u4")
         return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
