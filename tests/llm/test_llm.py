@@ -230,6 +230,20 @@ def test_embeddings(spark, block):
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [0.0, 0.6, 0.8])
+def test_embeddings_with_a_common_direction(spark, common):
+    draw = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base = unit(np.sqrt(common) * np.eye(64)[0] + np.sqrt(1 - common) * unit(draw.standard_normal((1500, 64))))
+    way = draw.standard_normal(base[:500].shape)
+    way = unit(way - (way * base[:500]).sum(axis=1, keepdims=True) * base[:500])
+    x = np.concatenate([base, 0.955 * base[:500] + np.sqrt(1 - 0.955**2) * way])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sum(r.n_links for r in embedding_dedup.link_vectors(df).collect())
+    linked = (x @ x.T >= 0.95).sum() - len(x)
+    assert linked >= 1000 and 0.9 * linked <= got <= linked
+
+
 BENCH = ["one two three four five six seven eight nine ten eleven", "Short item here", None, "...", "alpha"]
 
 

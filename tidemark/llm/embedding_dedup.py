@@ -2,9 +2,10 @@
 
 A rotation is learned that makes the signs of the rotated principal components balanced codes close to the vectors
 (alternating between codes and the orthogonal Procrustes solution). Codes go into many tables, each keyed by its own
-choice of code bits; the number of bits follows the number of vectors, so buckets stay small, and the number of tables
-is what then finds a pair at the threshold with the probability asked for. Vectors that share a bucket are compared
-by cosine in double precision.
+choice of code bits. How many bits two vectors at the threshold differ in is counted on sample vectors moved that far,
+with the codes in use: codes are of centred vectors, whose angle is larger where all share a direction. Bits a table
+and tables follow from it, so that such a pair is found with the probability asked for at the least cost. Vectors that
+share a bucket are compared by cosine in double precision.
 
 Equal vectors are merged first and counted. A bucket larger than BLOCK is dealt into blocks, and each pair of blocks
 is compared by itself. A task gives back, for each vector, the weight of the vectors it found and one link to the
@@ -34,6 +35,9 @@ from tidemark.llm.components import components
 
 #: Vectors of a block, vectors that the rotation is fitted to, and the share of pairs at the threshold to be found.
 BLOCK, SAMPLE, FOUND = 512, 20_000, 0.96
+#: Vectors that the differing bits are counted on, tables up to which a width is tried, and the cost of a vector's
+#: place in a table in comparisons of two vectors.
+DRAWN, MOST_TRIED, PLACED = 4_000, 1 << 11, 64
 
 
 def fit_rotation(x: np.ndarray, rounds: int = 40, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -50,11 +54,48 @@ def fit_rotation(x: np.ndarray, rounds: int = 40, bits: int = 64) -> tuple[np.nd
     return mean, main @ turn
 
 
-def tables_for(n: int, bits: int, threshold: float, found: float = FOUND) -> list[list[int]]:
-    """The code bits of each table. A bit of two vectors at the threshold differs with probability angle / pi."""
-    width = max(1, min(bits, math.ceil(math.log2(max(n, 2))) + 3))
-    meet = (1 - math.acos(threshold) / math.pi) ** width
-    count = max(1, math.ceil(math.log(1 - found) / math.log(max(1e-12, 1 - meet)))) if meet < 1 else 1
+def differing(x: np.ndarray, mean: np.ndarray, turn: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Code bits that differ in pairs at the threshold, and in pairs drawn from the unit vectors x. Each vector is moved
+    to the threshold in two directions: any, and that of the difference of two other vectors."""
+    draw = np.random.default_rng(7)
+    x = x[:DRAWN]
+    code = (x - mean) @ turn >= 0
+    a, b = x[draw.permutation(len(x))], x[draw.permutation(len(x))]
+    near = []
+    for way in (draw.standard_normal(x.shape), a - b):
+        way = way - (way * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(way, axis=1)
+        some = size > 1e-9
+        moved = threshold * x[some] + math.sqrt(max(0.0, 1 - threshold**2)) * way[some] / size[some, None]
+        near.append((code[some] != ((moved - mean) @ turn >= 0)).sum(axis=1))
+    # The harder of the two directions counts.
+    near = max((d for d in near if len(d)), key=lambda d: d.mean(), default=np.zeros(1, int))
+    other = np.roll(np.arange(len(x)), 1)
+    return near, (code != code[other]).sum(axis=1) if len(x) > 1 else np.zeros(1, int)
+
+
+def tables_for(n: int, bits: int, near: np.ndarray, far: np.ndarray, found: float = FOUND) -> list[list[int]]:
+    """The code bits of each table: the width at which tables that find the share `found` of the pairs `near` cost
+    least. `near` and `far` are the bits in which pairs at the threshold and any two vectors differ."""
+    best = None
+    for width in range(1, min(bits, math.ceil(math.log2(max(n, 2))) + 3) + 1):
+        # Of d differing bits none is among `width` that are drawn.
+        meets = np.array([math.comb(bits - d, width) / math.comb(bits, width) for d in range(bits + 1)])
+        missed = lambda t: ((1 - meets[near]) ** t).mean()  # noqa: B023, E731
+        high = 1
+        while missed(high) > 1 - found and high < MOST_TRIED:
+            high *= 2
+        if missed(high) > 1 - found:
+            continue
+        low = high // 2
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if missed(mid) <= 1 - found else (mid, high)
+        cost = high * (PLACED + n * meets[far].mean())
+        if best is None or cost < best[0]:
+            best = cost, width, high
+    # Where no number of tables does, all vectors share one bucket.
+    _, width, count = best or (0, 0, 1)
     draw = random.Random(11)
     return [sorted(draw.sample(range(bits), width)) for _ in range(count)]
 
@@ -102,9 +143,10 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     x = as_matrix(drawn.column(0), dim)
     scale = np.abs(x).max(axis=1, keepdims=True) if len(x) else 1
     x = x / scale
-    mean, turn = fit_rotation(x / np.linalg.norm(x, axis=1, keepdims=True)) if len(x) else (np.zeros(dim), np.eye(dim)[:, : min(64, dim)])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+    mean, turn = fit_rotation(x) if len(x) else (np.zeros(dim), np.eye(dim)[:, : min(64, dim)])
     bits = turn.shape[1]
-    chosen = tables_for(n, bits, threshold)
+    chosen = tables_for(n, bits, *differing(x, mean, turn, threshold))
     masks = np.array([sum(1 << b for b in t) for t in chosen], np.uint64)
     powers = (1 << np.arange(bits, dtype=np.uint64)).astype(np.uint64)
 
