@@ -354,3 +354,19 @@ def test_pipeline(spark):
     assert decontamination.decontaminate(docs, items).where("contaminated").count() == 0
     assert simhash.near_duplicates(docs).where("doc_id <> component_id").count() == 0
     assert corpus_pipeline.run(spark, folder).count() == kept[-1]
+
+
+def test_pipeline_removes_by_id_and_text(spark, tmp_path):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    draw = random.Random(12)
+    a, b, c = (" ".join("".join(draw.choice("aeionrstl") for _ in range(6)) for _ in range(60)) for _ in range(3))
+    item = BENCH[0]
+    rows = [(None, a), (None, a), (1, b), (1, b), (1, c), (2, c), (None, item), (3, item + " x"), (3, "clean"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = lambda stage: sorted(((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+    clean = [x for x in rows if item not in (x[1] or "")]
+    assert left(corpus_pipeline.without_benchmark) == sorted(clean, key=str)
+    assert left(corpus_pipeline.one_of_each) == sorted([(None, a), (1, b), (1, c), (None, item), (3, item + " x"), (3, "clean"), (None, None)], key=str)
