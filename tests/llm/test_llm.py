@@ -297,6 +297,15 @@ def test_line_dedup(spark):
     assert line_dedup.line_report(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_lines_of_many_clauses(spark):
+    clauses = [f"clause {i} here," for i in range(line_dedup.LONG + 200)]
+    line = lambda n, *changed: " ".join("other words," if i in changed else c for i, c in enumerate(clauses[:n]) if i not in changed or i % 2)
+    n = line_dedup.LONG
+    docs = [line(n + 200), line(n + 200, 301), line(n + 200, 300), line(n + 200).replace("clause", "clauses of another kind"), line(n), line(n, 10), line(n, 0), line(n + 1, 4)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_report(frame(spark, docs)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1}
+
+
 def test_quality(spark):
     draw = random.Random(8)
     good = [" ".join(draw.choice("the of and to in a is that for it as was".split()) + draw.choice(["", "", "."]) for _ in range(40)) for _ in range(120)]
