@@ -5,20 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: The folder of an application that names none.
+#: The folder of a local application that names none.
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where that is unset (tests), a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir or set as checkpoint folder. Where none is, a temporary one, but only
+    if driver and executors are one machine."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        app = spark.sparkContext.applicationId
-        named = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = _own.setdefault(context.applicationId, _own.get(context.applicationId) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return named.rstrip("/")
 
 
@@ -51,12 +54,23 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with as many underscores more as no column of df is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows up to which a narrow table (ids, hashes, a short text) may be sent to every executor.
 BROADCAST_ROWS = 500_000
 
 
-def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, counted now; beyond that Spark shuffles both sides."""
+def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, counted now; beyond that Spark shuffles both sides.
+    size: what a row counts for, where rows hold arrays; df is then counted whole."""
+    if size is not None:
+        return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= 8 * rows else df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
