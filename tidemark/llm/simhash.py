@@ -5,10 +5,11 @@ keeps the bits whose vector has an odd product with v. The at most `radius` bits
 span fewer dimensions than there are, so some v is orthogonal to all of them and its mask hides every difference: the
 pair meets in that table. Nothing within the radius is missed.
 
-Equal fingerprints are merged first. Tables' buckets of up to SMALL fingerprints are compared pair by pair. Those in
-larger buckets are linked exactly without pairs: two fingerprints differ in at most 2 bits if and only if some value
+Equal fingerprints are merged first. Tables' buckets of up to SMALL fingerprints are compared pair by pair. Larger ones
+have an exact way of their own. Up to a radius of 2: two fingerprints differ in at most 2 bits if and only if some value
 is at most one bit from both, so each is joined to all 65 values around it, and whoever meets at a value (65 at most)
-is linked to the least of them.
+is linked to the least of them. Beyond: the bucket is dealt into blocks of BLOCK, each pair of blocks is compared by
+itself, and gives back for each fingerprint one link to the first of those that its links lead to, never the pairs.
 
 Defined results: a null or blank text has the fingerprint zero and links like any other; a text of fewer words than a
 shingle is one shingle; repeated rows, and rows that share an id, each get their row; a null id is never the least of
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.blocks import dealt_in_blocks, first_linked, sorted_groups
 from tidemark.llm.common import map_texts, need, written
 from tidemark.llm.components import components
 
-#: Fingerprints of a bucket up to which its pairs are compared.
-SMALL = 16
+#: Fingerprints of a bucket up to which its pairs are compared; those of a block of a larger one.
+SMALL, BLOCK = 16, 512
 
 
 def fingerprint(text: str | None, words: int = 3, block: int = 1 << 15) -> int:
@@ -72,20 +74,36 @@ def covering_masks(radius: int = 2, bits: int = 64) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 2, small: int = SMALL) -> DataFrame:
+def links_in_blocks(many: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between the fingerprints of large buckets. many: (bucket, fp, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, ("bucket", "i", "j")):
+            fp, side = t.column("fp").to_numpy(), t.column("side").to_numpy()
+            x = fp.view(np.uint64)
+            near = (np.bitwise_count(x[:, None] ^ x[None, :]) <= radius) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+            first = first_linked(near)
+            some = np.flatnonzero(first != np.arange(len(fp)))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[first[some]], pa.int64()), pa.array(fp[some], pa.int64())], ["u", "v"])
+
+    return dealt_in_blocks(many, ["bucket"], "fp", block).mapInArrow(run, "u long, v long")
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = 2, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of fingerprints within the radius. distinct: (fp)."""
-    if radius > 2:
-        raise ValueError("the exact way for large buckets is for a radius of 1 or 2")
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(covering_masks(radius))])
-    placed = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    sizes = placed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    placed = written(placed.join(sizes, ["t", "key"]), "buckets")
-    few = placed.where(F.col("n") <= small)
-    pairs = few.alias("a").join(few.alias("b"), ["t", "key"]).where("a.fp < b.fp").where(F.bit_count(F.expr("a.fp ^ b.fp")) <= radius)
+    # A bucket is known by a hash of its table and the bits that are left; should two ever share one, they are compared together.
+    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))])
+    placed = distinct.select("fp", F.explode(tables).alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    placed = written(placed.join(sizes, "bucket"), "buckets")
+    few, many = placed.where(F.col("n") <= small), placed.where(F.col("n") > small)
+    pairs = few.alias("a").join(few.alias("b"), "bucket").where("a.fp < b.fp").where(F.bit_count(F.expr("a.fp ^ b.fp")) <= radius)
     pairs = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    many = placed.where(F.col("n") > small).select("fp").distinct()
+    if radius > 2:
+        return pairs.union(links_in_blocks(many, radius, block))
     around = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) if i < 63 else -(1 << 63)) for i in range(64)])
-    met = many.select("fp", F.explode(around).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
+    met = many.select("fp").distinct().select("fp", F.explode(around).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
     met = met.groupBy("value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
     stars = met.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v")
     if radius == 1:
