@@ -87,14 +87,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return out
 
     keys = sent_if_small(written(union(keys, "n int, print long").distinct(), "prints"), SENT_WINDOWS)
-    texts = sent_if_small(written(union(texts, f"item {dict(items.dtypes)['item']}, n int, window string").distinct(), "windows"), SENT_WINDOWS)
+    texts = written(union(texts, f"item {dict(items.dtypes)['item']}, n int, window string").distinct(), "windows")
+    # A window that many items hold is met once, and its items are looked up once a document.
+    windows = texts.groupBy("n", "window").agg(F.xxhash64("n", "window").alias("w"), F.xxhash64(F.lit(1), "n", "window").alias("w2"))
+    windows = sent_if_small(written(windows, "window-ids"), SENT_WINDOWS)
+    owners = texts.select("item", F.xxhash64("n", "window").alias("w"), F.xxhash64(F.lit(1), "n", "window").alias("w2"))
 
-    # First pass: a row for each document (print null) and one for each of its prints that the benchmark has.
+    # First pass: a row for each document (n = 0) and one for each of its prints that the benchmark has.
     words = settled(docs, "words", F.coalesce(words_of(F.col("text")), F.array().cast("array<string>"))).drop("text")
     for n in lengths:
         words = with_prints(words, n, f"prints{n}", window, gram)
     prints = [F.transform(f"prints{n}", tagged(n)) for n in lengths]
-    marker = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("print")))
+    # The document's own row has a print of its own, so that where both sides are shuffled these rows spread.
+    marker = F.array(F.struct(F.lit(0).alias("n"), F.xxhash64("id", "th").alias("print")))
     seen = words.select("id", "th", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(marker, *prints)).alias("x")).select("id", "th", "n_words", "x.n", "x.print")
     seen = seen.join(keys.withColumn("met", F.lit(True)), ["n", "print"], "left").where("n = 0 or met")
     seen = written(seen.select("id", "th", "n_words", F.col("n").alias("n")), "seen")
@@ -106,10 +111,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = []
     for n in lengths:
         found = again.select("id", "th", F.posexplode(rolling(F.col("words"), n)).alias("at", "x")).select("id", "th", F.col("at").cast("long"), F.lit(n).alias("n"), joined("x", n).alias("window"))
-        hits.append(found.join(texts, ["n", "window"]).select("id", "th", "at", "n", "item"))
-    hits = union(hits, f"id {dict(docs.dtypes)['id']}, th long, at long, n int, item {dict(items.dtypes)['item']}")
-    spans = F.array_sort(F.collect_set(F.struct("at", "n")))
-    per_doc = hits.groupBy("id", "th").agg(spans.alias("spans"), F.collect_set(F.col("item").cast("string")).alias("items"))
+        hits.append(found.join(windows, ["n", "window"]).select("id", "th", "at", "n", "w", "w2"))
+    hits = written(union(hits, f"id {dict(docs.dtypes)['id']}, th long, at long, n int, w long, w2 long"), "window-hits")
+    spans = hits.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
+    named = hits.select("id", "th", "w", "w2").distinct().join(sent_if_small(owners, SENT_WINDOWS), ["w", "w2"]).groupBy("id", "th").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
+    per_doc = spans.alias("s").join(named.alias("i"), F.expr("s.id <=> i.id and s.th = i.th")).select("s.id", "s.th", "spans", "items")
     covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), lambda acc, s: F.struct(F.greatest(acc["end"], s["at"] + s["n"]).alias("end"), (acc["n"] + F.greatest(F.lit(0).cast("long"), s["at"] + s["n"] - F.greatest(acc["end"], s["at"]))).alias("n")))
     per_doc = per_doc.select("id", "th", covered["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("items"))
     every = seen.where("n = 0").select("id", "th", "n_words")
