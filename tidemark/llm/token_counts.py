@@ -1,9 +1,11 @@
 """Token counts by overlap resynchronisation.
 
-A huge document is read in overlapping chunks. Each chunk is cut at its stable boundaries (a space or line feed
-after something that is not white space: the pre-tokenizer cannot match across it, so the tokens on either side
-do not depend on each other) and keeps the offsets of its parts. Two neighbours are spliced at the first boundary
-inside the overlap that both have; if they share none, the overlap is widened, up to the rest of the document.
+A huge document is read in overlapping chunks. Each is encoded with the offsets of its tokens. A stable boundary is a
+space or line feed after something that is not white space: the pre-tokenizer cannot match across it, so the tokens on
+either side do not depend on each other. A chunk ends OVERLAP characters behind a stable boundary, the next begins as
+many before it, and they are spliced there if a token begins at it in both. If the offsets do not show that, the
+overlap is widened to the next boundary, twice as far on as before; what has no boundary at all is encoded in one piece.
+No chunk is encoded again but when it is widened, and then at double length, so the work grows with the text's length.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get their row; an empty table
 gives an empty table; other columns are ignored. The length of a text is bounded only by what a cell can hold.
@@ -11,6 +13,8 @@ gives an empty table; other columns are ignored. The length of a text is bounded
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,13 +36,17 @@ class PieceCounter:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.processors import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.post_processor = ByteLevel(trim_offsets=False)  # offsets with their spaces; no id depends on it
         self.model = self.tokenizer.model
         self.after_space = Remembered(self._after_space)
         self.as_is = Remembered(self.whole, 50_000)
+        #: Whether a special string holds white space, so that no boundary is safe.
+        self.spaced = any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values())
         # The short cuts hold for the byte-level pattern without normaliser; others take the library's whole way.
         self.short = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
 
@@ -54,22 +62,6 @@ class PieceCounter:
                 return len(self.model.tokenize("Ġ" + as_byte_chars(part)))
         return self.whole(part if part[0] == "\n" else " " + part)
 
-    def parts(self, text: str, start: bool) -> tuple[list[int], list[int]]:
-        """(offset, tokens) of each part of text, as two lists. start: whether text begins its document; otherwise
-        it begins at a stable boundary or is cut somewhere and spliced later."""
-        plain = split_before_breaks(text)
-        if plain is None:
-            cuts = AFTER_TEXT.split(text) if text else []
-            sizes, counts = [len(p) for p in cuts], [self.as_is[p] if len(p) < 64 else self.whole(p) for p in cuts]
-        else:
-            counts = [self.as_is[plain[0]], *map(self.after_space.__getitem__, plain[1:])]
-            sizes = [len(plain[0]), *(len(p) + (p[0] != "\n") for p in plain[1:])]
-        at, offsets = 0, []
-        for n in sizes:
-            offsets.append(at)
-            at += n
-        return offsets, counts
-
     def count(self, text: str) -> int:
         if not text:
             return 0
@@ -77,36 +69,37 @@ class PieceCounter:
             return self.count_huge(text)
         plain = split_before_breaks(text)
         if plain is None:
-            return sum(self.parts(text, True)[1])
+            return sum(self.as_is[p] if len(p) < 64 else self.whole(p) for p in AFTER_TEXT.split(text))
         return self.as_is[plain[0]] + sum(map(self.after_space.__getitem__, plain[1:]))
 
+    def offsets(self, text: str) -> list[int]:
+        """Where each token of text begins."""
+        return [o[0] for o in self.tokenizer.encode(text, add_special_tokens=False).offsets]
+
+    def boundary(self, text: str, at: int) -> int:
+        """The first stable boundary from `at` on, or the end of text."""
+        if self.spaced:
+            return len(text)
+        for found in AFTER_TEXT.finditer(text, max(at, 1)):
+            if self.stable(text, found.start()):
+                return found.start()
+        return len(text)
+
     def count_huge(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-        """Counts chunk by chunk. [begin, end) is encoded; its parts before the splice are final."""
-        total, begin, end = 0, 0, min(len(text), chunk)
-        offsets, counts = self.parts(text[begin:end], True)
-        while end < len(text):
-            width = min(overlap, end - begin)
-            while True:
-                left = end - width
-                right_end = min(len(text), left + width + chunk)
-                # A part that a chunk's end has cut, and a chunk's first part, are not stable.
-                after, after_counts = self.parts(text[left:right_end], False)
-                known = {begin + o for o in offsets[1:]}
-                shared = next((i for i, o in enumerate(after) if i and left + o in known and self.stable(text, left + o)), None)
-                if shared is not None:
-                    break
-                if width < end - begin:  # widen to the left
-                    width = min(2 * width, end - begin)
-                else:  # nothing shared in the whole chunk: encode it together with the next one
-                    left, right_end = begin, min(len(text), end + chunk)
-                    after, after_counts = self.parts(text[left:right_end], begin == 0)
-                    shared = 0
-                    break
-            splice = left + after[shared]
-            total += sum(n for o, n in zip(offsets, counts) if begin + o < splice)
-            begin, end = splice, right_end
-            offsets, counts = [left + o - splice for o in after[shared:]], after_counts[shared:]
-        return total + sum(counts)
+        """Counts chunk by chunk: the tokens between two splices, which are final."""
+        total, begin, size, width = 0, 0, chunk, overlap
+        while begin < len(text):
+            splice, left = self.boundary(text, begin + size), max(0, begin - width)
+            starts = [left + o for o in self.offsets(text[left : splice + width])]
+            first, last = bisect_left(starts, begin), bisect_left(starts, splice)
+            if starts[first : first + 1] == [begin] and (splice == len(text) or starts[last : last + 1] == [splice]):
+                total += last - first
+                begin, size, width = splice, chunk, overlap
+            elif left == 0 and splice == len(text):  # all of the text, in one piece
+                return len(starts)
+            else:
+                size, width = 2 * size, 2 * width
+        return total
 
     @staticmethod
     def stable(text: str, at: int) -> bool:
