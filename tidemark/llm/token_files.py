@@ -3,15 +3,17 @@
 Documents in ascending id order are encoded, an end id follows each, and the ids are laid end to end into sequences
 of one length, written as record batches of two fixed-size-list columns (`ids`, `mask`) in the Arrow file format.
 A batch can be mapped into memory and sequence k read at once without a copy; the mask is false behind a file's last id.
-Each range of ids gets one file, and a second one with the place of each document in it. Files take their names only
-when whole, so a task that is run again replaces nothing by halves.
+Each range of ids gets one file, and a second one with the place of each document in it; how many ranges follows from
+the bytes of the texts. Files are named after the attempt that writes them, and the manifest names those of the attempts
+that ended well, so a task that is run again replaces nothing and renames nothing.
 
 Defined results: a null text is an empty one, with the end id alone; rows that share an id follow each other, ordered
-by text; null ids come first; an empty table gives no files and no rows; other columns are ignored.
+by a hash of the text; null ids come first; an empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import need, new_path
 from tidemark.llm.segments import Remembered, as_byte_chars, plain_letters
 
-#: Ids of a sequence, and sequences of a record batch.
-LENGTH, BATCH = 2048, 256
+#: Ids of a sequence, sequences of a record batch, and bytes of text that a file is made of.
+LENGTH, BATCH, FILE_BYTES = 2048, 256, 64 << 20
+#: Characters that end words and are one run of marks to the splitter.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _id_coders: dict[str, IdCoder] = {}
 
 
@@ -43,12 +47,23 @@ class IdCoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        rules = [repr(self.tokenizer.normalizer), repr(self.tokenizer.pre_tokenizer)]
         #: By words: a lower-casing normaliser, a splitter that removes what its pattern leaves, byte characters.
-        self.by_words = "Lowercase()" in rules[0] and "NFC()" in rules[0] and "behavior=Removed, invert=True" in rules[1] and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in rules[1] and "ByteLevel" in rules[1]
-        self.words = Remembered(self._word, 250_000)
+        self.by_words = self._splits_at_space(json.loads(self.tokenizer.to_str()))
+        self.words = Remembered(self._word, 500_000)
         self.words[""] = b""
 
+    @staticmethod
+    def _splits_at_space(rules: dict) -> bool:
+        """Whether white space separates what is encoded and leaves no trace, and marks are runs of their own."""
+        steps = (rules["normalizer"] or {}).get("normalizers", []), (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [s["type"] for s in steps[0]] != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps[1]] != ["Split", "ByteLevel"]:
+            return False
+        split, byte_level = steps[1]
+        pattern = split["pattern"].get("Regex", "").split("|")
+        letters = all(p in pattern for p in (r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"))
+        named = [t["content"] for t in rules["added_tokens"]]
+        return letters and split["behavior"] == "Removed" and split["invert"] and not byte_level["use_regex"] and not any(t.isspace() or not t.strip(MARKS) for t in named)
+
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
@@ -62,8 +77,8 @@ class IdCoder:
             low = word.lower()
             if plain_letters(low):  # one pre-token of the pattern
                 return self.pack([t.id for t in self.model.tokenize(as_byte_chars(low))])
-        elif word[-1] in ".," and plain_letters(word[:-1]):
-            return self.words[word[:-1]] + self.words[word[-1]]
+        elif (core := word.rstrip(MARKS)) != word and plain_letters(core):
+            return self.words[core] + self.words[word[len(core) :]]
         return self.whole(word)
 
     def encode(self, text: str) -> bytes:
@@ -148,26 +163,30 @@ class SequenceReader:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, batch: int = BATCH, parts: int | None = None) -> tuple[str, list[tuple]]:
     """Writes the files into `out`, a URI that driver and executors can reach (default: the shared folder).
 
-    Returns out and its manifest: (part, documents, ids) of each file, in order. One shuffle, by ranges of ids; one
-    row for each file comes to the driver."""
+    Returns out and its manifest: (part, name, documents, ids) of each file, in order. One shuffle, by ranges of ids
+    (and of text hashes and rows within an id, so that a frequent one is cut as well); one row a file comes to the driver."""
     spark = docs.sparkSession
     out = out or new_path(spark, "tokens")
     out = out if "://" in out or out.startswith("file:") else f"file://{out}"
     fs, folder = pafs.FileSystem.from_uri(out)
     fs.create_dir(folder, recursive=True)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = need(docs, id_col, text_col).toDF("id", "text")
+    if not parts:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        # As many tasks as there are cores at least, where there are rows enough.
+        parts = max(-(-size // FILE_BYTES), min(spark.sparkContext.defaultParallelism, size // (1 << 20)), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, writer, task = id_coder(tokenizer), None, TaskContext.get()
         fs, folder = pafs.FileSystem.from_uri(out)
-        name, own = f"{folder}/part-{task.partitionId():06d}", f"{folder}/_try-{task.partitionId()}-{task.taskAttemptId()}"
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         end, total, docs_n = coder.pack([end_id]), 0, 0
         for b in batches:
             if not b.num_rows:
                 continue
             if writer is None:
-                writer = SequenceWriter(fs, own, coder.dtype, length, batch)
-                sink = fs.open_output_stream(own + ".docs")
+                writer = SequenceWriter(fs, f"{folder}/{name}.arrow", coder.dtype, length, batch)
+                sink = fs.open_output_stream(f"{folder}/{name}.docs.arrow")
                 places = pa.ipc.new_file(sink, pa.schema([("id", b.schema.field(0).type), ("start", pa.int64()), ("n", pa.int64())]))
             starts, counts = [], []
             for text in b.column(1):
@@ -183,14 +202,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str | N
             writer.close()
             places.close()
             sink.close()
-            fs.move(own, name + ".arrow")
-            fs.move(own + ".docs", name + ".docs.arrow")
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([docs_n], pa.int64()), pa.array([total], pa.int64())], ["part", "docs", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([docs_n], pa.int64()), pa.array([total], pa.int64())], ["part", "name", "docs", "ids"])
 
-    rows = need(docs, id_col, text_col).toDF("id", "text")
-    dealt = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    found = dealt.mapInArrow(run, "part int, docs long, ids long").collect()  # a row for each file
-    return out, sorted((r.part, r.docs, r.ids) for r in found)
+    order = ["id", "th", "row"]
+    dealt = rows.withColumn("th", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = dealt.select("id", "text").mapInArrow(run, "part int, name string, docs long, ids long").collect()  # a row for each file
+    return out, sorted((r.part, r.name, r.docs, r.ids) for r in found)
 
 
 def places_schema(b: pa.RecordBatch) -> pa.Schema:
@@ -200,15 +217,15 @@ def places_schema(b: pa.RecordBatch) -> pa.Schema:
 def read_token_files(spark, out: str, manifest: list[tuple], id_type: str = "long", id_col: str = "doc_id") -> DataFrame:
     """A row per document, from the files: id, start among all ids, number of ids, crc32 of its ids. A task per file."""
     base, rows = 0, []
-    for part, _, ids in manifest:
-        rows.append((part, base))
+    for part, name, _, ids in manifest:
+        rows.append((part, name, base))
         base += ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                reader = SequenceReader(f"{out}/part-{part:06d}.arrow")
-                fs, path = pafs.FileSystem.from_uri(f"{out}/part-{part:06d}.docs.arrow")
+            for name, base in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                reader = SequenceReader(f"{out}/{name}.arrow")
+                fs, path = pafs.FileSystem.from_uri(f"{out}/{name}.docs.arrow")
                 with fs.open_input_file(path) as f:
                     places = pa.ipc.open_file(f)
                     for k in range(places.num_record_batches):
@@ -217,7 +234,7 @@ def read_token_files(spark, out: str, manifest: list[tuple], id_type: str = "lon
                         crc = [reader.crc32(s, n) for s, n in zip(starts, counts)]
                         yield pa.RecordBatch.from_arrays([p.column(0), pa.array([base + s for s in starts], pa.int64()), p.column(2), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.createDataFrame(rows, "part int, base long")
+    files = spark.createDataFrame(rows, "part int, name string, base long")
     if rows:
         files = files.repartitionByRange(len(rows), "part")
     return files.mapInArrow(run, f"id {id_type}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
