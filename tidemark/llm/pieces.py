@@ -120,7 +120,7 @@ class PieceEncoder:
         user = any(p.type == 4 for p in model.pieces)
         self.cuttable = self.identity and model.trainer_spec.model_type == 2 and not user and not self.sp.is_unknown(self.sp.piece_to_id("<0x0A>")) and not any(map(crosses, names))
         self.bos, self.eos = self.sp.bos_id(), self.sp.eos_id()
-        self.known = Remembered(self._part, 100_000)
+        self.known = Remembered(self._part, 250_000)
         self.lone = self.sp.piece_to_id(SPACE)
 
     def _part(self, part: str) -> bytes:
@@ -165,7 +165,8 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Ids (begin and end included), the byte spans of the pieces, and the digests of ids and of the decoded text.
+    """Ids (begin and end included), the byte spans of the pieces, and digests: of the ids, of the decoded text, and of
+    the spans without those of begin and end (all begins, then all ends, as 64-bit integers).
 
     with_ids=False leaves out the arrays, for callers that want the digests only. One pass over the scan's own
     partitions, no shuffle."""
@@ -181,15 +182,15 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 decoded = e.sp.decode([f.tolist() for f in full], num_threads=1) if full else []
                 cols = [b.column(0), pa.array([len(f) for f in full], pa.int64()), pa.array([hashlib.sha256(f.tobytes()).hexdigest() for f in full]), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded])]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                cols.append(pa.array([int(s[1][-1]) if len(s[1]) else 0 for s in spans], pa.int64()))
-                names.append("span_bytes")
+                cols.append(pa.array([hashlib.sha256(np.concatenate(s).astype("<i8").tobytes()).hexdigest() for s in spans]))
+                names.append("spans_sha256")
                 if with_ids:
                     cols += [pa.array([f.astype("i4") for f in full], pa.list_(pa.int32())), pa.array([np.concatenate([[0], s[0], [len(t.encode())]]) for t, s in zip(texts, spans)], pa.list_(pa.int64())), pa.array([np.concatenate([[0], s[1], [len(t.encode())]]) for t, s in zip(texts, spans)], pa.list_(pa.int64()))]
                     names += ["ids", "begins", "ends"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = need(docs, id_col, text_col)
-    schema = f"id {dict(rows.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long"
+    schema = f"id {dict(rows.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
     schema += ", ids array<int>, begins array<long>, ends array<long>" if with_ids else ""
     return map_texts(rows.toDF("id", "text"), run, schema).withColumnRenamed("id", id_col)
 

@@ -12,7 +12,7 @@ the raw counts, the weights, k and the draw cover every document. The k-th highe
 ranges that narrow down, so the driver only ever sees range counts.
 
 Defined results: a null text has no n-grams and log weight 0; documents without labels are treated alike; if labels
-of either kind are missing every document is kept; equal sums at the edge are all kept; several labels of a document
+of either kind are missing every document is kept; of rows that share a labelled id the least log weight speaks for it; equal sums at the edge are all kept; several labels of a document
 count as the highest; repeated rows each get their row; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, need, sent_if_small, written
+from tidemark.llm.common import free_name, map_texts, need, sent_if_small, written
 from tidemark.llm.segments import Remembered
 
 #: Buckets of words and pairs, buckets of shapes, labelled documents used, and the raw corpus's weight in the target model, in counts a bucket.
@@ -150,7 +150,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     scored = map_texts(rows.select("id", "text", F.xxhash64("text").alias("th"), "quality"), score, f"id {kind}, th long, quality int, log_weight double")
     u = (F.shiftrightunsigned(F.xxhash64("id", "th", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     scored = written(scored.withColumn("noisy", F.col("log_weight") - F.log(-F.log(u))), "weights")
-    known = scored.where("quality is not null").select("log_weight", "quality").limit(10 * labelled).toPandas()  # a row for each used label; more only for repeated rows
+    # A row for each used label, whose own is the least of the rows that share its id.
+    known = scored.where("quality is not null").groupBy("id").agg(F.min(F.struct("log_weight", "quality")).alias("one")).select("one.*").toPandas()
     cut = best_cut(known.log_weight.to_numpy(), known.quality.to_numpy() == 1)
     k = scored.where(F.col("log_weight") >= cut).count() if cut > -math.inf else 0
     kept = F.col("noisy") >= kth_highest(scored, "noisy", k) if k else F.lit(cut == -math.inf)
@@ -164,6 +165,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> DataFrame:
     """docs without those that the classifier rejects."""
-    out = sent_if_small(score_quality(docs, labels, id_col, text_col, labelled).where("not kept").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_th"))
+    key, hashed = free_name(docs, "_id"), free_name(docs, "_th")
+    out = sent_if_small(score_quality(docs, labels, id_col, text_col, labelled).where("not kept").select("id", "th").distinct()).toDF(key, hashed)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(hashed))
     return docs.join(out, same, "left_anti")
