@@ -47,22 +47,47 @@ def test_token_counts(spark, texts):
 @pytest.mark.parametrize("chunk, overlap", [(40, 1), (97, 5), (500, 20)])
 def test_resynchronisation(texts, chunk, overlap):
     c = token_counts.PieceCounter(public_tokenizers.path("byte_bpe_50k.json"))
-    for x in (long_text(texts)[:20_000], "ab" * 300 + " c " + "\n" * 90 + "d" * 50 + "\t \t" * 30):
+    for x in (long_text(texts)[:20_000], "ab" * 300 + " c " + "\n" * 90 + "d" * 50 + "\t \t" * 30, "日本語" * 400, "x" * 1000 + " y"):
         assert c.count_huge(x, chunk, overlap) == c.whole(x)
 
 
+def test_splices_stand_where_tokens_begin(texts):
+    """A boundary that no token begins at, as an untrustworthy tokenizer gives, is not spliced at but widened over."""
+    c = token_counts.PieceCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    x = long_text(texts)[:8_000]
+    sure = c.offsets(x)
+    for at in range(200, 8_000, 400):
+        at = c.boundary(x, at)
+        assert at == len(x) or at in sure
+    c.boundary = lambda text, at: min(at + 7, len(text))  # anywhere
+    assert c.count_huge(x, 500, 20) == c.whole(x)
+
+
+def test_a_million_characters_without_spaces():
+    import time
+
+    c = token_counts.PieceCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    draw = random.Random(2)
+    for x in ("".join(draw.choice("abcdefXYZ0123456789+/") for _ in range(1_000_000)), "".join(chr(draw.randrange(0x4E00, 0x4F00)) for _ in range(300_000))):
+        t0 = time.process_time()
+        want = c.whole(x)
+        t1 = time.process_time()
+        assert c.count(x) == want
+        assert time.process_time() - t1 <= 3 * (t1 - t0) + 1
+
+
 def test_token_files(spark, texts):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t, df = Tokenizer.from_file(path), frame(spark, texts)
-    out, manifest = token_files.write_token_files(df, path, 2, length=32, batch=3)
+    out, manifest = token_files.write_token_files(df, path, 2, length=32, batch=3, parts=4)
     got, at = {r.doc_id: r for r in token_files.read_token_files(spark, out, manifest).collect()}, 0
     for i, x in enumerate(texts):
         ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids))
         at += len(ids)
-    ids, mask = token_files.SequenceReader(f"{out}/part-{manifest[0][0]:06d}.arrow").sequence(1)
+    ids, mask = token_files.SequenceReader(f"{out}/{manifest[0][1]}.arrow").sequence(1)
     assert len(ids) == len(mask) == 32 and all(mask.to_pylist())
     out, manifest = token_files.write_token_files(frame(spark, []), path, 2)
     assert not manifest and token_files.read_token_files(spark, out, manifest).count() == 0
@@ -270,42 +295,95 @@ def test_decontamination(spark, texts):
     assert [r.n_hit for r in decontamination.decontaminate(frame(spark, ["a b"]), none).collect()] == [0]
 
 
-def line_keys(key):
-    words = key.split(" ")
-    symbols = words if len(words) <= line_dedup.SHORT else re.split(line_dedup.CLAUSE, key)
-    keys = {" ".join(symbols)}
-    if 1 < len(symbols) <= line_dedup.LONG:
-        keys |= {" ".join(symbols[:i] + symbols[i + 1 :]) for i, s in enumerate(symbols) if len(s) <= line_dedup.BOUND * len(key)}
-    return keys
-
-
-def test_line_dedup(spark):
-    long = "the first clause of a long line, the second one, a third, and a fourth one that goes on, ok, then more of it, and more, and yet more; the end."
-    short = "ten words are in this line for all to see"
-    docs = ["a\n" + long + "\n\n" + short, "A\nnew line", long.replace("ok", "no") + "\n" + short + " a", None, "", "new line\nnew line", " a ", short.replace("ten", "two")]
-    df = frame(spark, docs)
-    lines = [(i, j, x.strip(" ").lower()) for i, t in enumerate(docs) if t is not None for j, x in enumerate(t.split("\n")) if x.strip(" ")]
-    want = {}
-    for n, (i, j, key) in enumerate(lines):
-        if any(line_keys(key) & line_keys(k) for _, _, k in lines[:n]):
-            want.setdefault(i, []).append(j)
-    got = {r.doc_id: [int(x) for x in r.dropped.split(",") if x] for r in line_dedup.line_report(df).collect()}
-    assert got == {i: want.get(i, []) for i in range(len(docs))}
-    assert want[2] == [0, 1] and want[7] == [0]
-    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
-    assert left == {0: docs[0], 1: "new line", 3: None, 4: ""}
+def words_apart(a, b, reach_a, reach_b):
+    """Whether a and b are equal but for one run of at most reach_a and reach_b symbols: every way to cut is tried."""
+    for p in range(min(len(a), len(b)) + 1):
+        if a[:p] != b[:p]:
+            return False
+        for n in range(reach_a + 1):
+            m = len(b) - len(a) + n
+            if 0 <= m <= reach_b and p + n <= len(a) and p + m <= len(b) and a[p + n :] == b[p + m :]:
+                return True
+    return False
+
+
+def near_lines(a, b):
+    """The rule of the docstring, without any key: equal, or one run apart in words or, if short, in characters."""
+    if a == b:
+        return True
+    wa, wb = a.split(" "), b.split(" ")
+    if min(len(wa), len(wb)) >= 5 and words_apart(wa, wb, min(3, len(wa) // 5), min(3, len(wb) // 5)):
+        return True
+    return all(5 <= len(x) <= 64 for x in (a, b)) and words_apart(a, b, 1, 1)
+
+
+def brute_lines(docs):
+    """Places of the lines that go, by (id, text)."""
+    from pyspark.sql import functions as F  # noqa: F401
+
+    rows = sorted({(i, t) for i, t in docs if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    lines = [(i, t, j, x.strip(" ").lower()) for i, t in rows for j, x in enumerate(t.split("\n")) if x.strip(" ")]
+    return {(i, t): sorted({l[2] for n, l in enumerate(lines) if l[:2] == (i, t) and any(near_lines(k[3], l[3]) for k in lines[:n])}) for i, t in rows}
+
+
+def check_lines(spark, docs):
+    df = spark.createDataFrame([(i, t, "z", 0, "w") for i, t in docs], DOCS).repartition(3)
+    want = brute_lines(docs)
+    got = sorted((str(r.doc_id), r.n_lines, r.dropped) for r in line_dedup.line_report(df).collect())
+    assert got == sorted((str(i), 0 if t is None else len(t.split("\n")), ",".join(map(str, want.get((i, t), [])))) for i, t in docs)
+    left = sorted((str(r.doc_id), str(r.text), r.th, r.v) for r in line_dedup.dedup_lines(df).collect())
+    expected = []
+    for i, t in docs:
+        gone = want.get((i, t), [])
+        text = t if not gone else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone)
+        if not gone or text.replace("\n", " ").strip(" "):
+            expected.append((str(i), str(text), 0, "w"))
+    assert left == sorted(expected)
+
+
+def test_line_dedup_by_cases(spark):
+    w = [f"word{i}" for i in range(20)]
+    line = " ".join(w)
+    clauses = [f"clause {i} here," for i in range(501)]
+    many = " ".join(clauses)
+    check_lines(spark, list(enumerate([
+        line + "\n\nbye now", line.replace("word7", "wort7"), line.replace("word7 ", ""), "x " + line, line + " y z", "A\nnew line", " a \nnew line\nNEW LINE", None, "", "\n \n",
+        line.replace("word3", "a").replace("word9", "b"), line.replace("word3 word4 word5", "a b"), line.replace("word3 word4 word5 word6", "a"),
+        "abcdefghij klmnop qrstuv wxyzab cdefgh ijklmno", "abcdefghij klmnop qrstuv wxyzab cdefgh ijklmnp", "alpha beta gamma delta epsilon", "alpha beta gammq delta epsilon", "alpha beta gamma delta",
+        "hello wrld again", "hello world again", "helo wrld again", "a", "b", "yes sir", "no sir", many, many.replace("clause 301 here,", "other words,"), many.replace("clause 100 here, ", ""), many.replace("clause 7 here, clause 8 here,", "gone"),
+    ])))
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    a, b, c = ("the first line of three that stand here\nsecond", "the first line of three that stand there", "quite another one\nof two lines")
+    check_lines(spark, [(9, b), (0, a), (9, c), (9, c), (None, "second"), (None, None), (None, "second")])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_at_random(spark, seed):
+    """True edits of lines of all lengths, among many lines that share their first or last half."""
+    draw = random.Random(seed)
+    words = ["".join(draw.choice("abc") for _ in range(draw.randint(1, 5))) for _ in range(12)]
+    lines = []
+    for _ in range(60):
+        base = [draw.choice(words) for _ in range(draw.randint(1, 24))]
+        for _ in range(draw.randint(1, 4)):
+            some = list(base)
+            for _ in range(draw.choice([0, 1, 1, 2])):
+                at = draw.randrange(len(some) + 1)
+                some[at : at + draw.randint(0, 3)] = [draw.choice(words) for _ in range(draw.randint(0, 3))]
+            lines.append(" ".join(some))
+    draw.shuffle(lines)
+    check_lines(spark, [(i, "\n".join(lines[i :: 40])) for i in range(40)])
+
+
+def test_line_dedup_of_a_line_of_a_megabyte(spark):
+    big = [f"q{i % 7919}x{i}" for i in range(90_000)]
+    docs = [" ".join(x) for x in (big, big[:60_000] + ["zz"] + big[60_001:], big[3:], big[5:40_000] + big[40_001:])]
+    assert [r.n_dropped for r in line_dedup.line_report(frame(spark, docs)).orderBy("doc_id").collect()] == [0, 1, 1, 0]
     assert line_dedup.line_report(frame(spark, [])).count() == 0
 
 
-def test_line_dedup_of_lines_of_many_clauses(spark):
-    clauses = [f"clause {i} here," for i in range(line_dedup.LONG + 200)]
-    line = lambda n, *changed: " ".join("other words," if i in changed else c for i, c in enumerate(clauses[:n]) if i not in changed or i % 2)
-    n = line_dedup.LONG
-    docs = [line(n + 200), line(n + 200, 301), line(n + 200, 300), line(n + 200).replace("clause", "clauses of another kind"), line(n), line(n, 10), line(n, 0), line(n + 1, 4)]
-    got = {r.doc_id: r.n_dropped for r in line_dedup.line_report(frame(spark, docs)).collect()}
-    assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1}
-
-
 def test_quality(spark):
     draw = random.Random(8)
     good = [" ".join(draw.choice("the of and to in a is that for it as was".split()) + draw.choice(["", "", "."]) for _ in range(40)) for _ in range(120)]
