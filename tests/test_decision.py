@@ -69,12 +69,12 @@ def test_freshness_edges(spark):
         assert got == [want, "missing", "fresh"]
 
 
-CANDLE = "exchange string, timeframe string, open_ms long, open double, high double, low double, close double, volume double, closed boolean"
+CANDLE = "exchange string, symbol string, timeframe string, open_ms long, open double, high double, low double, close double, volume double, closed boolean"
 
 
 def test_upsert_keeps_the_last_and_skips_the_unsound(spark):
-    stored = spark.createDataFrame([("x", "1h", 0, 1.0, 2.0, 0.5, 1.5, 1.0, False)], CANDLE)
-    new = [("x", "1h", 0, 1.0, 3.0, 0.5, 2.5, 1.0, False, 1), ("x", "1h", 0, 1.0, 3.0, 0.5, 2.7, 1.0, True, 2), ("x", "1h", H, 1.0, 0.5, 2.0, 1.0, 1.0, True, 3), ("y", "1h", 0, 1.0, 2.0, 0.5, float("nan"), 1.0, True, 4)]
+    stored = spark.createDataFrame([("x", "S", "1h", 0, 1.0, 2.0, 0.5, 1.5, 1.0, False)], CANDLE)
+    new = [("x", "S", "1h", 0, 1.0, 3.0, 0.5, 2.5, 1.0, False, 1), ("x", "S", "1h", 0, 1.0, 3.0, 0.5, 2.7, 1.0, True, 2), ("x", "S", "1h", H, 1.0, 0.5, 2.0, 1.0, 1.0, True, 3), ("y", "S", "1h", 0, 1.0, 2.0, 0.5, float("nan"), 1.0, True, 4)]
     got = upserts.upsert_candles(stored, spark.createDataFrame(new, CANDLE + ", seq long")).collect()
     assert [(r.exchange, r.close, r.closed) for r in got] == [("x", 2.7, True)]
 
@@ -86,9 +86,9 @@ def test_market_upsert_keeps_the_asset(spark):
 
 
 def test_incremental_cut_is_inclusive(spark):
-    kind = "exchange string, timeframe string, open_ms long"
-    new = spark.createDataFrame([("x", "1h", t) for t in (1, 2, 3)] + [("y", "1h", 1)], kind)
-    got = upserts.incremental_cut(new, spark.createDataFrame([("x", "1h", 2)], kind)).collect()
+    kind = "exchange string, symbol string, timeframe string, open_ms long"
+    new = spark.createDataFrame([("x", "S", "1h", t) for t in (1, 2, 3)] + [("y", "S", "1h", 1)], kind)
+    got = upserts.incremental_cut(new, spark.createDataFrame([("x", "S", "1h", 2)], kind)).collect()
     assert sorted((r.exchange, r.open_ms) for r in got) == [("x", 2), ("x", 3), ("y", 1)]
 
 

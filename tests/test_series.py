@@ -45,8 +45,8 @@ def test_macd_starts_where_it_should():
 
 
 def bars(spark, rows, exchange="X"):
-    data = [(exchange, "1h", i * H, float(o), float(h), float(low), float(c), 1.0, True) for i, (o, h, low, c) in enumerate(rows)]
-    return spark.createDataFrame(data, "exchange string, timeframe string, open_ms long, open double, high double, low double, close double, volume double, closed boolean")
+    data = [(exchange, "S", "1h", i * H, float(o), float(h), float(low), float(c), 1.0, True) for i, (o, h, low, c) in enumerate(rows)]
+    return spark.createDataFrame(data, "exchange string, symbol string, timeframe string, open_ms long, open double, high double, low double, close double, volume double, closed boolean")
 
 
 def from_closes(closes, wick=1.0):

@@ -62,14 +62,14 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_trades_stream_equals_bridge(spark, tmp_path):
     events = bridge.read(spark, "/root/testdata/sf0.001", "events")
-    trades = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("exchange"), "value")
+    trades = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", bridge.venue_of(F.col("event_type")).alias("exchange"), bridge.symbol_of(F.col("user_id")).alias("symbol"), "value")
     trades.coalesce(1).write.parquet(str(tmp_path / "in"))
     out = ingest.candles_from_trades(spark.readStream.schema(trades.schema).parquet(str(tmp_path / "in")), "4h")
     query = out.writeStream.format("memory").queryName("candles_out").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = {(r.exchange, r.open_ms): (r.open, r.high, r.low, r.close, r.volume) for r in spark.table("candles_out").collect()}
-    want = {(r.exchange, r.open_ms): (r.open, r.high, r.low, r.close, r.volume) for r in bridge.candles_from_events(events, "4h").collect()}
-    assert got and all(want[k] == v for k, v in got.items()) and len(want) - len(got) <= 10
+    got = {(r.exchange, r.symbol, r.open_ms): (r.open, r.high, r.low, r.close, r.volume) for r in spark.table("candles_out").collect()}
+    want = {(r.exchange, r.symbol, r.open_ms): (r.open, r.high, r.low, r.close, r.volume) for r in bridge.candles_from_events(events, "4h").collect()}
+    assert got and all(want[k] == v for k, v in got.items()) and len(want) - len(got) <= 30
 
 
 def test_cadence():
@@ -77,3 +77,29 @@ def test_cadence():
     ingest.check_cadence(["5m"], 600_000, once=True)
     with pytest.raises(ValueError):
         ingest.check_cadence(["1h", "5m"], 300_001)
+
+
+def test_late_candles_are_not_taken(spark, tmp_path):
+    kind = "exchange string, symbol string, timeframe string, open_ms long, open double, high double, low double, close double, volume double, closed boolean, seq long"
+    batch = lambda *rows: spark.createDataFrame([("x", s, "1h", T0 + h * H, 1.0, 4.0, 0.5, c, 1.0, True, n) for n, (s, h, c) in enumerate(rows)], kind)
+    table = ingest.CandleTable(spark, str(tmp_path / "table"))
+    table.upsert(batch(("A", 0, 1.0), ("A", 120, 1.0)), 0)
+    table.upsert(batch(("A", 3, 2.0), ("A", 48, 2.0), ("A", 120, 2.0), ("B", 3, 2.0)), 1)
+    want = [("A", 0, 1.0), ("A", 120, 2.0), ("B", 3, 2.0)]
+    stored = lambda: sorted((r.symbol, (r.open_ms - T0) // H, r.close) for r in table.read().collect())
+    assert stored() == want
+    table.upsert(batch(("A", 119, 3.0), ("B", 2, 3.0), ("B", 4, 3.0)), 2)
+    assert stored() == [*want, ("B", 4, 3.0)]
+    again = ingest.CandleTable(spark, str(tmp_path / "table"))
+    again.upsert(batch(("A", 121, 3.0)), 3)
+    assert ("A", 121, 3.0) in stored()
+
+
+def test_markets_of_one_venue_stay_apart(spark):
+    from tidemark.sources import upserts
+
+    kind = "exchange string, symbol string, timeframe string, open_ms long, open double, high double, low double, close double, volume double, closed boolean"
+    row = lambda s, c: ("x", s, "1h", T0, 1.0, 4.0, 0.5, c, 1.0, True)
+    new = spark.createDataFrame([(*row("BTC", 2.0), 1), (*row("ETH", 3.0), 2)], kind + ", seq long")
+    got = upserts.upsert_candles(spark.createDataFrame([row("BTC", 1.0)], kind), new).collect()
+    assert sorted((r.symbol, r.close) for r in got) == [("BTC", 2.0), ("ETH", 3.0)]

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SERIES = ["exchange", "timeframe"]
+#: What a series is: one market and one timeframe.
+SERIES = ["exchange", "symbol", "timeframe"]
 #: Periods of a snapshot.
 EMA_PERIODS, RSI, MACD, ATR, VOLUME = (20, 50, 200), 14, (12, 26, 9), 14, 20
 PERIODS = {"ema": EMA_PERIODS, "rsi": RSI, "macd": MACD, "atr": ATR, "volume": VOLUME}
@@ -96,7 +97,7 @@ def with_indicators(candles: DataFrame, periods: dict = PERIODS) -> DataFrame:
     """Closed candles with their recursive indicators and the volume's mean and ratio, one kernel call a series.
 
     Columns keep the names of the standard periods, whatever periods stand behind them."""
-    columns = ["exchange", "timeframe", "open_ms", "open", "high", "low", "close", "volume"]
+    columns = [*SERIES, "open_ms", "open", "high", "low", "close", "volume"]
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("open_ms")

@@ -61,6 +61,23 @@ def market_results(markets: DataFrame, scored: DataFrame, keys: list[str], top_o
     return out
 
 
+def strategy_results(markets: DataFrame, snapshots: DataFrame, candles: DataFrame, config: dict, evaluate_custom) -> DataFrame:
+    """Every market's result under a checked configuration: filtered ones first; then scores from snapshots if their
+    periods are the configuration's, else (by evaluate_custom) from candles. keys: exchange and symbol."""
+    from tidemark.plans.config import periods_of, standard_periods, trend_parameters
+
+    parameters = trend_parameters(config)
+    keys = ["exchange", "symbol"]
+    if standard_periods(config):
+        scored = trend_score(snapshots, parameters).withColumn("refused", F.lit(None).cast("string"))
+    else:
+        scored = evaluate_custom(snapshots, candles, periods_of(config), parameters).withColumnRenamed("reason", "refused").drop("status")
+    scored = scored.select(*keys, "timeframe", "open_ms", "long_score", "short_score", "direction", "refused")
+    out = market_results(markets, scored, keys, config["filters"]["top500Only"], config["filters"]["minimumQuoteVolume24h"])
+    refused = (F.col("status") != "filtered") & F.col("refused").isNotNull()
+    return out.withColumn("status", F.when(refused, "cannot-evaluate").otherwise(F.col("status"))).withColumn("reason", F.coalesce("reason", F.when(refused, F.col("refused")))).drop("refused")
+
+
 def vote(results: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Votes of the evaluated markets of each asset; both sides at the threshold is a conflict, without a direction."""
     ok = F.col("status") == "evaluated"
@@ -82,16 +99,18 @@ def common_horizon(participants: DataFrame, candles: DataFrame, timeframe: str,
     """The newest closed candle on the grid that all participants of a group have, and whether it may be used.
 
     participants: (group, member); candles: (group, member, open_ms, closed). An open time is common if as many
-    members have it as take part: a counting join, whatever their number. Checks come in a fixed order."""
+    members have it as take part: a counting join, whatever their number. now_ms: a number, or an aggregate of candles.
+    Checks come in a fixed order."""
     width = DURATION_MS[timeframe]
-    now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
+    clock = candles.agg((F.lit(now_ms) if isinstance(now_ms, int) else now_ms).alias("_now"))  # one row
+    now = F.col("_now")
     good = candles.where(F.col("closed") & on_grid(F.col("open_ms"), width)).select(*group, member, "open_ms").distinct()
     good = good.join(participants, [*group, member], "left_semi")
     n = participants.groupBy(*group).agg(F.count_distinct(member).alias("participants"))
     have = good.groupBy(*group).agg(F.count_distinct(member).alias("with_data"), F.max("open_ms").alias("newest_ms"))
     shared = good.groupBy(*group, "open_ms").agg(F.count("*").alias("members")).join(n, group).where("members = participants")
     common = shared.groupBy(*group).agg(F.max("open_ms").alias("common_ms"), F.count("*").alias("shared"))
-    out = n.join(have, group, "left").join(common, group, "left")
+    out = n.join(have, group, "left").join(common, group, "left").crossJoin(F.broadcast(clock))
     lag = bar_count(F.col("newest_ms") - F.col("common_ms"), width)
     late = bar_count(expected_latest_closed(now, width) - F.col("common_ms"), width)
     out = out.withColumn("relative_lag", lag).withColumn("absolute_lag", late)

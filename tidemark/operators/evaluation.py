@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import PERIODS, SERIES, minimum_candles, with_indicators
 from tidemark.functions.timeframes import duration
+from tidemark.operators.reports import MARKET
 from tidemark.operators import decision, paging, scoring, structure, zones
 from tidemark.sources.tables import settled
 
@@ -38,23 +39,20 @@ def evaluate_custom(snapshots: DataFrame, candles: DataFrame, periods: dict = PE
     return out.select(*SERIES, F.col("at_ms").alias("open_ms"), "status", "reason", *kept)
 
 
-def structure_at_horizon(candles: DataFrame, timeframe: str, now_ms: int, group: list[str], least: int = 2, swing: int = scoring.SWING, internal: int = scoring.INTERNAL) -> DataFrame:
+def structure_at_horizon(candles: DataFrame, timeframe: str, now_ms: int | Column, group: list[str], least: int = 2, swing: int = scoring.SWING, internal: int = scoring.INTERNAL) -> DataFrame:
     """Structure verdict of each group of venues at their common horizon: (group, horizon, votes, usable).
 
-    candles: one timeframe, with the group's columns. Every venue is evaluated on candles up to the horizon only; the
+    candles: one timeframe, with the group's columns, one market of a group at each venue. Every venue is evaluated on candles up to the horizon only; the
     vote counts if the horizon is ok and every verdict rests on the horizon's candle."""
-    members = candles.select(*group, "exchange").distinct()
-    horizon = decision.common_horizon(members, candles, timeframe, now_ms, group, "exchange")
+    members = candles.select(*dict.fromkeys([*group, *MARKET])).distinct()
+    horizon = decision.common_horizon(members.select(*group, "exchange").distinct(), candles, timeframe, now_ms, group, "exchange")
     horizon = settled(horizon)
     usable = horizon.where("status = 'ok'").select(*group, F.col("common_ms").alias("at_ms"))
     upto = candles.join(usable, group).where(F.col("open_ms") <= F.col("at_ms"))
-    # A series is a venue within a group.
-    name = F.concat_ws("/", *group, "exchange")
-    rows = settled(structure.prepared(upto.withColumn("exchange", name)))
+    rows = settled(structure.prepared(upto.select(*candles.columns)))
     verdicts = scoring.score_series(rows, swing, internal)
     seen = rows.groupBy(*SERIES).agg(F.max("open_ms").alias("open_ms"))
-    names = members.withColumn("name", name)
-    results = verdicts.join(seen, SERIES).join(names, verdicts.exchange == names.name).select(*group, "open_ms", "status", "direction", "long_score", "short_score")
+    results = verdicts.join(seen, SERIES).join(members, MARKET).select(*group, "open_ms", "status", "direction", "long_score", "short_score")
     votes = decision.vote(results, group, least)
     aligned = decision.alignment(results, group, timeframe).select(*group, "safe")
     out = horizon.join(votes, group, "left").join(aligned, group, "left")

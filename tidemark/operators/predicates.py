@@ -58,6 +58,14 @@ def tolerant_candle(tolerance: float = 1e-9) -> Column:
     )
 
 
+def series_validity(candles: DataFrame) -> DataFrame:
+    """Rows, closed and sound ones (with the tolerance), and repeated open times of each series: a table has no order of
+    its own, so what is left of "strictly increasing" is that no time comes twice."""
+    from tidemark.functions.indicators import SERIES
+
+    return candles.groupBy(*SERIES).agg(F.count("*").alias("n"), F.count_if(tolerant_candle()).alias("sound"), (F.count("*") - F.count_distinct("open_ms")).alias("repeated"))
+
+
 def allowed_base(base: Column) -> Column:
     """2 to 20 capital letters or digits, and not an excluded one."""
     return ~base.isin(*EXCLUDED_BASES) & base.rlike("^[A-Z0-9]{2,20}$")

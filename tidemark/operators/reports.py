@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.predicates import active_market
+from tidemark.functions.indicators import SERIES
+from tidemark.operators.predicates import EXCLUDED_BASES, active_market
+
+MARKET = ["exchange", "symbol"]
 
 
 def when_closed(value: str) -> Column:
@@ -17,7 +20,7 @@ def health_by_timeframe(candles: DataFrame) -> DataFrame:
     """Candles, closed, open, markets, first open, last closed and last open of each timeframe."""
     return candles.groupBy("timeframe").agg(
         F.count("*").alias("total"), F.count_if("closed").alias("closed"), F.count_if(~F.col("closed")).alias("open"),
-        F.count_distinct("exchange").alias("markets"), F.min("open_ms").alias("first_open_ms"),
+        F.count_distinct(*MARKET).alias("markets"), F.min("open_ms").alias("first_open_ms"),
         F.max(when_closed("open_ms")).alias("last_closed_ms"), F.max("open_ms").alias("last_open_ms"),
     )
 
@@ -25,30 +28,82 @@ def health_by_timeframe(candles: DataFrame) -> DataFrame:
 def counts_by_market(candles: DataFrame, closed_last: bool = False) -> DataFrame:
     """Candles and the last open time of each market and timeframe; closed_last: of closed candles only."""
     last = when_closed("open_ms") if closed_last else F.col("open_ms")
-    return candles.groupBy("exchange", "timeframe").agg(F.count("*").alias("candles"), F.max(last).alias("last_ms"))
+    return candles.groupBy(*SERIES).agg(F.count("*").alias("candles"), F.max(last).alias("last_ms"))
 
 
 def nested_by_market(candles: DataFrame) -> DataFrame:
     """A row per market with its timeframes as a sorted array. At most one entry for each timeframe."""
     per = counts_by_market(candles)
-    return per.groupBy("exchange").agg(F.array_sort(F.collect_list(F.struct("timeframe", "candles", "last_ms"))).alias("timeframes"))
+    return per.groupBy(*MARKET).agg(F.array_sort(F.collect_list(F.struct("timeframe", "candles", "last_ms"))).alias("timeframes"))
 
 
-def duplicate_keys(candles: DataFrame, keys: tuple[str, ...] = ("exchange", "timeframe", "open_ms")) -> DataFrame:
+def duplicate_keys(candles: DataFrame, keys: tuple[str, ...] = (*SERIES, "open_ms")) -> DataFrame:
     """Number of keys that occur more than once."""
     return candles.groupBy(*keys).count().where("count > 1").agg(F.count("*").alias("duplicates"))
 
 
 def coverage_by_exchange(candles: DataFrame) -> DataFrame:
-    return candles.groupBy("exchange").agg(F.count_distinct("timeframe").alias("timeframes"), F.count("*").alias("candles"), F.min("open_ms").alias("first_ms"), F.max("open_ms").alias("last_ms"))
+    return candles.groupBy("exchange").agg(F.count_distinct("symbol").alias("markets"), F.count_distinct("timeframe").alias("timeframes"), F.count("*").alias("candles"), F.min("open_ms").alias("first_ms"), F.max("open_ms").alias("last_ms"))
 
 
 def enough_history(candles: DataFrame, minimum: int) -> DataFrame:
     """Markets and timeframes with at least `minimum` closed candles."""
-    per = candles.where("closed").groupBy("exchange", "timeframe").agg(F.count("*").alias("candles"))
+    per = candles.where("closed").groupBy(*SERIES).agg(F.count("*").alias("candles"))
     return per.where(F.col("candles") >= minimum).groupBy("timeframe").agg(F.count("*").alias("markets"))
 
 
+def enough_by_timeframe(candles: DataFrame, minimum: int) -> DataFrame:
+    """Markets with at least `minimum` closed candles of each timeframe that has candles; 0 is a number too."""
+    per = candles.groupBy(*SERIES).agg(F.count_if("closed").alias("closed"))
+    return per.groupBy("timeframe").agg(F.count_if(F.col("closed") >= minimum).alias("enough"))
+
+
+def with_market(candles: DataFrame, markets: DataFrame, *columns: str) -> DataFrame:
+    """Candles with columns of their market. Only what is reported of them should be left before: counts by market."""
+    return candles.join(markets.select(*MARKET, *columns), MARKET)
+
+
+def counts_of_asset(candles: DataFrame, markets: DataFrame, base: str, closed_last: bool = False) -> DataFrame:
+    """Candles and last open time of each market and timeframe of one asset. Candles of other markets go first."""
+    own = markets.where(F.col("base") == base)
+    return with_market(counts_by_market(candles.join(own.select(*MARKET), MARKET, "left_semi"), closed_last), own, "base")
+
+
+def top_coverage(candles: DataFrame, markets: DataFrame, assets: DataFrame, top: int = 10) -> DataFrame:
+    """Of the active markets of the first `top` assets: how many there are, and how many have candles, by timeframe."""
+    best = assets.where(F.col("rank") <= top).select(F.col("symbol").alias("base"))
+    own = markets.where(active_market()).join(best, "base", "left_semi").select(*MARKET)
+    number = own.agg(F.count("*").alias("wanted"))
+    have = candles.join(own, MARKET, "left_semi").groupBy("timeframe").agg(F.count_distinct(*MARKET).alias("covered"))
+    return have.crossJoin(F.broadcast(number))  # one row
+
+
+def coverage_of_page(candles: DataFrame, page: DataFrame) -> DataFrame:
+    """Closed candles and their newest open time of the markets of a page."""
+    own = candles.where("closed").join(page.select(*MARKET), MARKET, "left_semi")
+    return own.groupBy(*SERIES).agg(F.count("*").alias("candles"), F.max("open_ms").alias("last_ms"))
+
+
+def markets_with_candles(markets: DataFrame, candles: DataFrame) -> DataFrame:
+    return markets.join(candles.select(*MARKET).distinct(), MARKET, "left_semi")
+
+
+def charted_assets(assets: DataFrame, markets: DataFrame, candles: DataFrame) -> DataFrame:
+    """Assets that have an active market that has any candle: two semi joins."""
+    own = markets_with_candles(markets.where(active_market()), candles)
+    return assets.join(own.select(F.col("base").alias("symbol")).distinct(), "symbol", "left_semi")
+
+
+def market_overview(assets: DataFrame) -> DataFrame:
+    """Sum of the market caps (none is 0) and number of published and enabled ones."""
+    return assets.agg(F.sum(F.coalesce("market_cap", F.lit(0.0))).alias("market_cap"), F.count_if(F.col("enabled") & (F.col("status") == "PUBLISHED")).alias("published"))
+
+
+def published_strategies(strategies: DataFrame) -> DataFrame:
+    """Enabled and published ones by name, the newest version first."""
+    return strategies.where(F.col("enabled") & (F.col("status") == "PUBLISHED")).orderBy("slug", F.col("version").desc())
+
+
 def missing_timeframes(candles: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(candles.select("timeframe").distinct(), "timeframe", "left_anti")
 
@@ -83,8 +138,10 @@ def snapshot_plan(enough: Column, existing: Column, markets: Column) -> list[Col
 
 
 def liquidity(markets: DataFrame) -> DataFrame:
-    """Per asset: sum, maximum and number of positive quote volumes, and the score made of them."""
+    """Per asset that is not an excluded base: sum, maximum and number of positive quote volumes, and the score made of
+    them."""
     volume = F.when(F.col("quote_volume") > 0, F.col("quote_volume"))
+    markets = markets.where(~F.col("base").isin(*EXCLUDED_BASES))
     per = markets.groupBy(F.col("base").alias("symbol")).agg(F.coalesce(F.sum(volume), F.lit(0.0)).alias("total"), F.coalesce(F.max(volume), F.lit(0.0)).alias("highest"), F.count(volume).alias("markets"))
     rest = F.greatest(F.col("total") - F.col("highest"), F.lit(0.0))
     factor = 1 + 0.05 * F.least(F.col("markets") - 1, F.lit(4))

@@ -36,7 +36,7 @@ def latest(facts: DataFrame, at: str, fresh: int, last: DataFrame, fields: list[
     return aged.groupBy(*SERIES).agg(F.max_by(F.struct(*fields), F.struct(at, "event_ms")).alias(name))
 
 
-def score_series(rows: DataFrame, swing: int = SWING, internal: int = INTERNAL, weights: dict = WEIGHTS, minimum: int = MINIMUM) -> DataFrame:
+def score_series(rows: DataFrame, swing: int = SWING, internal: int = INTERNAL, weights: dict = WEIGHTS, minimum: int = MINIMUM, fresh: dict = FRESH, band: float = BAND) -> DataFrame:
     """rows: structure.prepared. A series that cannot be evaluated has a status and no scores, which is not NEUTRAL.
 
     Facts that several components rest on are settled first: five hundred candles a series and what is found in them."""
@@ -58,14 +58,14 @@ def score_series(rows: DataFrame, swing: int = SWING, internal: int = INTERNAL,
     bos = swing_events.where("type = 'BOS'").select(*SERIES, "dir", "event_ms", "confirmed_ms")
     broken = swing_events.unionByName(inner_events).where("type = 'AMBIGUOUS'").select(*SERIES).distinct().withColumn("ambiguous", F.lit(True))
     out = out.join(broken, SERIES, "left")
-    for facts, at, fresh, fields, name in (
-        (bos, "confirmed_ms", FRESH["bos"], ["dir"], "bos"),
-        (levels.where("state = 'SWEPT'"), "resolved_ms", FRESH["sweep"], ["side"], "sweep"),
-        (blocks, "confirmed_ms", FRESH["block"], zone, "swing_block"),
-        (inner_blocks, "confirmed_ms", FRESH["block"], zone, "internal_block"),
-        (lives.withColumnRenamed("direction", "dir"), "confirmed_ms", FRESH["gap"], zone, "gap"),
+    for facts, at, bars, fields, name in (
+        (bos, "confirmed_ms", fresh["bos"], ["dir"], "bos"),
+        (levels.where("state = 'SWEPT'"), "resolved_ms", fresh["sweep"], ["side"], "sweep"),
+        (blocks, "confirmed_ms", fresh["block"], zone, "swing_block"),
+        (inner_blocks, "confirmed_ms", fresh["block"], zone, "internal_block"),
+        (lives.withColumnRenamed("direction", "dir"), "confirmed_ms", fresh["gap"], zone, "gap"),
     ):
-        out = out.join(latest(facts, at, fresh, last, fields, name), SERIES, "left")
+        out = out.join(latest(facts, at, bars, last, fields, name), SERIES, "left")
     position = (F.col("price") - F.col("low")) / (F.col("high") - F.col("low"))
     block = F.coalesce("swing_block", "internal_block")
     meets = (block["dir"] == F.col("gap.dir")) & (block["bottom"] <= F.col("gap.top")) & (F.col("gap.bottom") <= block["top"])
@@ -81,7 +81,7 @@ def score_series(rows: DataFrame, swing: int = SWING, internal: int = INTERNAL,
             "swing_block": F.col("swing_block.dir") == side,
             "internal_block": F.col("internal_block.dir") == side,
             "gap": F.col("gap.dir") == side,
-            "range": position < 0.5 - BAND if up else position > 0.5 + BAND,
+            "range": position < 0.5 - band if up else position > 0.5 + band,
             "overlap": meets & (block["dir"] == side),
         }
 
@@ -96,3 +96,12 @@ def score_series(rows: DataFrame, swing: int = SWING, internal: int = INTERNAL,
     up, down = F.col("long_score") >= minimum, F.col("short_score") >= minimum
     direction = F.when(F.col("status") == "evaluated", F.when(up & ~down, "LONG").when(down & ~up, "SHORT").otherwise("NEUTRAL"))
     return out.select(*SERIES, "bars", "status", "swing_phase", "internal_phase", "long_score", "short_score", "long_parts", "short_parts", direction.alias("direction"), F.coalesce(up & down, F.lit(False)).alias("conflict"))
+
+
+def reasons(scores: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
+    """A row for each component of each scored series: its label, which sides have its points, and its weight."""
+    entry = lambda k, w: F.struct(F.lit(f"[{k.upper()}]").alias("label"), (F.col(f"long_parts.{k}") > 0).alias("long"), (F.col(f"short_parts.{k}") > 0).alias("short"), F.lit(w).cast("double").alias("weight"), F.concat(F.col(f"long_parts.{k}").cast("string"), F.lit("/"), F.col(f"short_parts.{k}").cast("string")).alias("value"))
+    listed = F.array(*[entry(k, w) for k, w in weights.items()])
+    conflict = F.when(F.col("conflict"), F.array(F.struct(F.lit("[DIRECTION_CONFLICT]").alias("label"), F.lit(True).alias("long"), F.lit(True).alias("short"), F.lit(0.0).alias("weight"), F.lit(None).cast("string").alias("value"))))
+    every = F.concat(listed, F.coalesce(conflict, F.filter(listed, lambda x: F.lit(False))))
+    return scores.where("status = 'evaluated'").select(*SERIES, F.explode(every).alias("r")).select(*SERIES, "r.*")

@@ -1,6 +1,6 @@
 """Price structure: pivots, displacements, fair value gaps, breaks of structure, and dealing ranges.
 
-All look at closed candles of one series (exchange, timeframe) up to a horizon. What compares a row with its
+All look at closed candles of one series (exchange, symbol, timeframe) up to a horizon. What compares a row with its
 neighbours is a window or a join bounded by the series' cut; the break-of-structure states, where each step depends
 on all before, run as a grouped kernel.
 """
@@ -104,9 +104,17 @@ def gap_lives(rows: DataFrame, found: DataFrame, age: int = 500) -> DataFrame:
     return out.select(*SERIES, "event_ms", F.col("close_ms").alias("confirmed_ms"), "direction", "bottom", "top", "size_atr", "touched_ms", "half_ms", "filled_ms", "invalidated_ms", "expired_ms", "fill", "state")
 
 
+SERIES_TYPES = ", ".join(f"{c} string" for c in SERIES) + ", "
 EVENTS = "type string, dir string, level double, level_ms long, event_ms long, confirmed_ms long, anchor_price double, anchor_ms long"
 
 
+def of_series(out: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """out with the columns that name the series of rows in front."""
+    for c in reversed(SERIES):
+        out.insert(0, c, rows[c].iloc[0])
+    return out
+
+
 class Breaks:
     """State of one series: levels of both sides, and the trend they make.
 
@@ -187,11 +195,9 @@ def structure_events(rows: DataFrame, left: int, right: int) -> DataFrame:
         except ValueError:
             events = [("AMBIGUOUS", None, None, None, bar.open_ms, bar.close_ms, None, None)]
         out = pd.DataFrame(events, columns=[f.split()[0] for f in EVENTS.split(", ")], dtype=object)
-        out.insert(0, "timeframe", pdf.timeframe.iloc[0])
-        out.insert(0, "exchange", pdf.exchange.iloc[0])
-        return out
+        return of_series(out, pdf)
 
-    return rows.groupBy(*SERIES).applyInPandas(kernel, "exchange string, timeframe string, " + EVENTS)
+    return rows.groupBy(*SERIES).applyInPandas(kernel, SERIES_TYPES + EVENTS)
 
 
 def dealing_ranges(events: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import SERIES
-from tidemark.operators.structure import both_pivots, displacements
+from tidemark.operators.structure import SERIES_TYPES, both_pivots, displacements, of_series
 
 # Tolerance of equal levels and least excursion of a sweep in ATR, bars that confirm a cluster, ages.
 EQUAL_ATR, SWEEP_ATR, CONFIRM_BARS, LEVEL_AGE, ZONE_AGE = 0.10, 0.05, 2, 750, 750
@@ -105,11 +105,9 @@ def liquidity_levels(rows: DataFrame, left: int, right: int, tolerance: float =
         for b in pdf.sort_values("i").itertuples(index=False):
             state.bar(b, [dict(p) for p in b.new] if b.new is not None else [])
         out = pd.DataFrame(state.levels(), columns=[f.split()[0] for f in LEVEL.split(", ")])
-        out.insert(0, "timeframe", pdf.timeframe.iloc[0])
-        out.insert(0, "exchange", pdf.exchange.iloc[0])
-        return out
+        return of_series(out, pdf)
 
-    equal = bars.groupBy(*SERIES).applyInPandas(kernel, "exchange string, timeframe string, " + LEVEL)
+    equal = bars.groupBy(*SERIES).applyInPandas(kernel, SERIES_TYPES + LEVEL)
     return level_fates(rows, single.unionByName(equal), sweep, age)
 
 
@@ -175,11 +173,9 @@ def order_blocks(rows: DataFrame, events: DataFrame, gaps: DataFrame, levels: Da
                 r["used"] = True
                 found.append((b.dir, r["start"], r["end"], r["origin"], r["bottom"], r["top"], i, b.open_ms, int(b.confirmed_ms)))
         out = pd.DataFrame(found, columns=[f.split()[0] for f in BLOCK.split(", ")])
-        out.insert(0, "timeframe", pdf.timeframe.iloc[0])
-        out.insert(0, "exchange", pdf.exchange.iloc[0])
-        return out
+        return of_series(out, pdf)
 
-    zones = bars.groupBy(*SERIES).applyInPandas(kernel, "exchange string, timeframe string, " + BLOCK)
+    zones = bars.groupBy(*SERIES).applyInPandas(kernel, SERIES_TYPES + BLOCK)
     key = [*SERIES, "event_i"]
     candles = rows.select(*SERIES, F.col("i").alias("j"), F.col("close_ms").alias("at_ms"), "high", "low", "close")
     up = F.col("dir") == "up"

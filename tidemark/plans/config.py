@@ -112,6 +112,26 @@ def periods_of(config: dict) -> dict:
     return {"ema": tuple(config["ema"][k] for k in ("fast", "medium", "slow")), "rsi": config["rsi"]["period"], "macd": tuple(config["macd"][k] for k in ("fast", "slow", "signal")), "atr": config["atr"]["period"], "volume": config["volume"]["period"]}
 
 
+def trend_parameters(config: dict) -> dict:
+    """What decision.trend_score takes of a checked trend configuration."""
+    w, rsi = config["weights"], config["rsi"]
+    return {
+        "minimum_score": config["minimumSignalScore"], "weights": {"trend": w["trend"], "medium": w["mediumTrend"], "rsi": w["rsi"], "macd": w["macd"], "volume": w["volume"]},
+        "rsi_long": (rsi["longMin"], rsi["longMax"]), "rsi_short": (rsi["shortMin"], rsi["shortMax"]), "dead_zone": config["macd"].get("deadZoneRatio") or 0.0, "volume_ratio": config["volume"]["minimumRatio"],
+    }
+
+
+def structure_parameters(config: dict) -> dict:
+    """What scoring.score_series takes of one timeframe of a checked structure configuration, if its pivots look as far
+    back as ahead."""
+    if config["swingLeft"] != config["swingRight"] or config["internalLeft"] != config["internalRight"]:
+        raise ValueError("pivots that look further back than ahead are not scored")
+    w = config["weights"]
+    names = {"swing": "swingStructureBias", "bos": "recentSwingBos", "internal": "internalStructure", "sweep": "liquiditySweep", "swing_block": "swingOrderBlock", "internal_block": "internalOrderBlock", "gap": "fvg", "range": "rangePosition", "overlap": "confluence"}
+    fresh = {"bos": config["structureEventFreshBars"], "sweep": config["sweepFreshBars"], "block": config["orderBlockFreshBars"], "gap": config["fvgFreshBars"]}
+    return {"swing": config["swingLeft"], "internal": config["internalLeft"], "weights": {k: w[n] for k, n in names.items()}, "minimum": config["minimumSignalScore"], "fresh": fresh, "band": config["eqBand"]}
+
+
 def standard_periods(config: dict) -> bool:
     """Whether snapshots, which have the standard periods, will do."""
     return periods_of(config) == PERIODS

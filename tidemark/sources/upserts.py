@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.indicators import SERIES
 from tidemark.operators.predicates import sound_candle
 
-CANDLE_KEY = ["exchange", "timeframe", "open_ms"]
+CANDLE_KEY = [*SERIES, "open_ms"]
 
 
 def latest_wins(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,6 +41,6 @@ def rewrite_ranks(assets: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def incremental_cut(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming candles from the last stored open time of their series on, that one included; all of a new series."""
-    last = stored.groupBy("exchange", "timeframe").agg(F.max("open_ms").alias("_last"))
-    out = incoming.join(last, ["exchange", "timeframe"], "left")
+    last = stored.groupBy(*SERIES).agg(F.max("open_ms").alias("_last"))
+    out = incoming.join(last, SERIES, "left")
     return out.where(F.col("_last").isNull() | (F.col("open_ms") >= F.col("_last"))).drop("_last")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.indicators import SERIES
 from tidemark.functions.timeframes import DURATION_MS
 from tidemark.sources.upserts import latest_wins
 from tidemark.operators.predicates import sound_candle
 
-KEY = ["exchange", "symbol", "timeframe", "open_ms"]
+KEY = [*SERIES, "open_ms"]
 PARTITION = ["timeframe", "day"]
 
 
@@ -33,22 +34,54 @@ class CandleTable:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _newest(self) -> DataFrame | None:
+        """The newest stored time of each series: the last whole version of a small table, or else from all candles."""
+        folder = f"{self.path}__newest"
+        if self._exists(folder):
+            fs, root = self._folder(folder)
+            whole = [int(n) for s in fs.listStatus(root) if (n := s.getPath().getName()).isdigit() and self._exists(f"{folder}/{n}/_SUCCESS")]
+            if whole:
+                return self.spark.read.parquet(f"{folder}/{max(whole)}")
+        return self.read().groupBy(*SERIES).agg(F.max("open_ms").alias("newest_ms")) if self._exists(self.path) else None
+
+    def _folder(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def upsert(self, batch: DataFrame, batch_id: int = 0) -> None:
+        """Takes a batch. A candle older than the newest stored one of its series is late and not taken."""
         day = F.floor(F.col("open_ms") / DURATION_MS["1d"]).cast("int")
         batch = batch.where(sound_candle()).withColumn("day", day)
         columns = [c for c in batch.columns if c != "seq"]
+        newest = self._newest()
+        if newest is not None:
+            last = newest.withColumnRenamed("newest_ms", "_last")
+            batch = batch.join(last, SERIES, "left").where(F.col("_last").isNull() | (F.col("open_ms") >= F.col("_last"))).drop("_last")
+        staging = f"{self.path}__staging/{batch_id}"
+        batch.write.mode("overwrite").parquet(f"{staging}/taken")
+        batch = self.spark.read.parquet(f"{staging}/taken")
         if self._exists(self.path):
             touched = batch.select(*PARTITION).distinct()
             stored = self.read().select(*columns).join(F.broadcast(touched), PARTITION, "left_semi").select(*columns)  # a row for each day of a batch
         else:
             stored = batch.select(*columns).limit(0)
-        # A late candle, older than the newest stored one of its series, is not taken.
-        last = stored.groupBy(*KEY[:3]).agg(F.max("open_ms").alias("_last"))
-        batch = batch.join(last, KEY[:3], "left").where(F.col("_last").isNull() | (F.col("open_ms") >= F.col("_last"))).drop("_last")
-        staging = f"{self.path}__staging/{batch_id}"
-        latest_wins(stored, batch, KEY).write.mode("overwrite").parquet(staging)
-        merged = self.spark.read.parquet(staging)
+        latest_wins(stored, batch, KEY).write.mode("overwrite").parquet(f"{staging}/merged")
+        merged = self.spark.read.parquet(f"{staging}/merged")
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(self.path)
+        # After the candles: a batch that is run again finds its own candles still in time.
+        times = batch.select(*SERIES, F.col("open_ms").alias("newest_ms"))
+        times = times if newest is None else times.unionByName(newest)
+        version = f"{self.path}__newest/{self._version() + 1}"
+        times.groupBy(*SERIES).agg(F.max("newest_ms").alias("newest_ms")).write.mode("overwrite").parquet(version)
+        fs, root = self._folder(f"{self.path}__newest")
+        for s in fs.listStatus(root):
+            if s.getPath().getName().isdigit() and int(s.getPath().getName()) < self._version() - 1:
+                fs.delete(s.getPath(), True)
+
+    def _version(self) -> int:
+        fs, root = self._folder(f"{self.path}__newest")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return max((int(n) for n in names if n.isdigit()), default=-1)
 
 
 def run(stream: DataFrame, table: CandleTable, checkpoint: str, once: bool = True, interval: str = "120 seconds"):
@@ -58,11 +91,11 @@ def run(stream: DataFrame, table: CandleTable, checkpoint: str, once: bool = Tru
 
 
 def candles_from_trades(trades: DataFrame, timeframe: str, lateness: str = "10 minutes") -> DataFrame:
-    """Candles of a stream of trades (ts timestamp, event_id, exchange, value). The watermark only bounds the state: a
+    """Candles of a stream of trades (ts timestamp, event_id, exchange, symbol, value). The watermark only bounds the state: a
     candle is given out once no trade in time can change it."""
     width = DURATION_MS[timeframe]
     order = F.struct("ts", "event_id")
-    out = trades.withWatermark("ts", lateness).groupBy("exchange", F.window("ts", f"{width // 1000} seconds").alias("w")).agg(
+    out = trades.withWatermark("ts", lateness).groupBy("exchange", "symbol", F.window("ts", f"{width // 1000} seconds").alias("w")).agg(
         F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").cast("double").alias("volume")
     )
-    return out.select("exchange", F.lit(timeframe).alias("timeframe"), F.unix_millis(F.col("w.start")).alias("open_ms"), "open", "high", "low", "close", "volume")
+    return out.select("exchange", "symbol", F.lit(timeframe).alias("timeframe"), F.unix_millis(F.col("w.start")).alias("open_ms"), "open", "high", "low", "close", "volume")
