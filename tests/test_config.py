@@ -45,6 +45,16 @@ def test_trend_config():
     assert not config.standard_periods(changed(TREND, ("rsi", "period"), 7))
 
 
+def test_configurations_reach_the_engines():
+    from tidemark.operators import decision, scoring
+
+    assert config.trend_parameters(TREND) == decision.TREND
+    got = config.structure_parameters(STRUCTURE)
+    assert (got["swing"], got["internal"], got["weights"], got["minimum"], got["fresh"], got["band"]) == (scoring.SWING, scoring.INTERNAL, scoring.WEIGHTS, scoring.MINIMUM, scoring.FRESH, scoring.BAND)
+    with pytest.raises(ValueError):
+        config.structure_parameters(changed(STRUCTURE, ("swingLeft",), 5))
+
+
 def test_structure_config():
     assert config.structure_errors({"1h": STRUCTURE, "4h": STRUCTURE}) == []
     for one in ({"2h": STRUCTURE}, {}, {"1h": changed(STRUCTURE, ("extra",), 1)}, {"1h": changed(STRUCTURE, ("weights", "fvg"), 11)}, {"1h": changed(STRUCTURE, ("swingLeft",), 0)}, {"1h": changed(STRUCTURE, ("filters",), {"a": 1}), "4h": STRUCTURE}):
@@ -66,7 +76,10 @@ def test_journal(spark):
     rows = {r.seq: r for r in got.collect()}
     assert (rows[1].source, rows[1].message) == ("sync", "[sync] two lines")
     assert rows[2].message == journal.HIDDEN and len(rows[3].message) == 400 and rows[4].source == "app"
-    assert [r.seq for r in journal.journal_page(got, level="INFO", page=1, size=2).collect()] == [4, 3]
+    page = lambda **k: [(r.seq, r.total, r.pages, r.page) for r in journal.journal_page(got, **k).orderBy("seq").collect()]
+    assert page(level="INFO", page=1, size=2) == [(3, 3, 2, 1), (4, 3, 2, 1)] and page(level="INFO", page=2, size=2) == [(1, 3, 2, 2)]
+    assert page(page=9, size=3) == page(page=1, size=3) and len(page(size=0)) == 4 and page(source="sync") == [(1, 1, 1, 1)] and page(level="NONE") == []
+    assert {r.source for r in journal.sources(got).collect()} == {"sync", "app"}
 
 
 def test_custom_periods_refuse(spark):

@@ -108,3 +108,52 @@ def test_merge_older_drops_overlap(spark):
 def test_bases(spark):
     df = spark.createDataFrame([(b,) for b in ("BTC", "USDT", "A", "btc", "X(1)", "EUR")], "base string")
     assert [r.base for r in df.where(predicates.allowed_base(F.col("base"))).collect()] == ["BTC"]
+
+
+def test_tickers_that_live(spark):
+    rows = [("A1", True, 1.0, 2.0), ("A1", False, 1.0, 2.0), ("A1", True, 0.0, 2.0), ("A1", True, 1.0, 0.0), ("USDT", True, 1.0, 2.0), ("A1", True, None, 2.0)]
+    df = spark.createDataFrame(rows, "base string, active boolean, price double, quote_volume double")
+    assert df.where(predicates.live_ticker()).count() == 1
+
+
+def test_eligible_exchanges(spark):
+    df = spark.createDataFrame([("X", "1h"), ("X", "4h"), ("Y", "1h"), ("X", "2h"), (None, "1h")], "e string, t string")
+    got = df.select(predicates.eligible_exchange(F.col("e"), F.col("t"), ("X",), (("X", "4h"),)).alias("ok")).collect()
+    assert [r.ok for r in got] == [True, False, False, False, False]
+
+
+def test_series_validity(spark):
+    rows = [("x", "S", "1h", 0, 1.0, 2.0, 0.5, 1.5, 1.0, True), ("x", "S", "1h", 0, 1.0, 2.0, 0.5, 2.0 + 1e-9, 1.0, True), ("x", "S", "1h", H, 1.0, 2.0, 0.5, 2.1, 1.0, True), ("x", "S", "1h", 2 * H, 1.0, 2.0, 0.5, 1.5, 1.0, False)]
+    r = predicates.series_validity(spark.createDataFrame(rows, CANDLE)).first()
+    assert (r.n, r.sound, r.repeated) == (4, 2, 1)
+
+
+def test_excluded_bases_are_not_ranked(spark):
+    from tidemark.operators import reports
+
+    df = spark.createDataFrame([("BTC", 5.0), ("USDT", 9.0), ("EUR", 7.0), ("BTC", 3.0), ("ETH", None)], "base string, quote_volume double")
+    assert [(r.symbol, r["rank"]) for r in reports.ranked_assets(df).orderBy("rank").collect()] == [("BTC", 1), ("ETH", 2)]
+
+
+def test_range_position_and_pages(spark):
+    from tidemark.operators import structure
+
+    df = spark.createDataFrame([(10.0,), (15.0,), (15.3,), (20.0,), (21.0,)], "price double")
+    got = df.select(*structure.range_position(F.col("price"), F.lit(10.0), F.lit(20.0))).collect()
+    assert [(round(r.position, 3), r.zone, r.outside) for r in got] == [(0.0, "discount", False), (0.5, "equilibrium", False), (0.53, "premium", False), (1.0, "premium", False), (1.1, "premium", True)]
+    assert [paging.total_pages(n) for n in (0, 1, 50, 51)] == [1, 1, 1, 2]
+
+
+def test_custom_periods_in_strategy_results(spark):
+    from tests.test_config import TREND, changed
+    from tests.test_series import bars, from_closes, walk
+    from tidemark.operators import evaluation
+
+    candles = bars(spark, from_closes(walk(60)))
+    last = candles.orderBy(F.col("open_ms").desc()).limit(1)
+    markets = spark.createDataFrame([("X", "S", 1, 2e6), ("X", "T", 2, 2e6), ("X", "U", None, 2e6), ("X", "V", 3, None)], "exchange string, symbol string, rank int, quote_volume double")
+    config = changed(changed(changed(TREND, ("ema",), {"fast": 3, "medium": 5, "slow": 20}), ("macd",), {"fast": 3, "slow": 6, "signal": 3}), ("volume", "period"), 5)
+    got = {r.symbol: (r.status, r.reason) for r in decision.strategy_results(markets, last, candles, config, evaluation.evaluate_custom).collect()}
+    assert got == {"S": ("evaluated", None), "T": ("no-snapshot", None), "U": ("filtered", "universe"), "V": ("filtered", "volume")}
+    config = changed(config, ("ema", "slow"), 200)
+    assert [(r.status, r.reason) for r in decision.strategy_results(markets.where("symbol = 'S'"), last, candles, config, evaluation.evaluate_custom).collect()] == [("cannot-evaluate", "history")]

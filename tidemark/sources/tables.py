@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 def settled(df: DataFrame) -> DataFrame:
     """df, worked out and kept in the folder that spark.checkpoint.dir names, with its lineage cut: plans stay small
-    and lost executors lose nothing. A folder of its own is set only where none is named."""
+    and lost executors lose nothing. A folder of its own is set only where none is named and all runs on one machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
