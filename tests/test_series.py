@@ -30,6 +30,33 @@ def test_ema_is_its_closed_form():
     assert got[i] == pytest.approx(want)
 
 
+def test_pieces_are_as_good_as_the_whole():
+    x = walk(150)
+    for first, period in ((0, 1), (0, 10), (1, 14), (25, 9), (0, 200)):
+        whole = ind.smoothed(x, first, period, 0.2)
+        for size in (1, 7, 60):
+            s = ind.Smoother(first, period, 0.2)
+            pieces = np.concatenate([s.feed(x[i : i + size]) for i in range(0, len(x), size)])
+            np.testing.assert_allclose(pieces, whole, rtol=1e-12)
+
+
+def test_long_series_in_small_batches(spark):
+    """Several series in one task, cut into batches anywhere, against the whole arrays."""
+    rows = from_closes(walk(700))
+    df = bars(spark, rows).unionByName(bars(spark, rows[:300], "Y")).unionByName(bars(spark, rows[:20], "Z"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "37")
+    got = ind.with_indicators(df).toPandas().sort_values(["exchange", "open_ms"])
+    spark.conf.set(name, before)
+    o, h, low, c = (np.array(v) for v in zip(*rows))
+    for exchange, n in (("X", 700), ("Y", 300), ("Z", 20)):
+        own = got[got.exchange == exchange]
+        line, signal = ind.macd(c[:n], 12, 26, 9)
+        for column, want in (("ema200", ind.ema(c[:n], 200)), ("rsi14", ind.rsi(c[:n])), ("macd", line), ("macd_signal", signal), ("atr14", ind.atr(h[:n], low[:n], c[:n]))):
+            np.testing.assert_allclose(own[column].to_numpy(float), want, rtol=1e-9)
+
+
 def test_rsi_bounds_and_flat_series():
     assert np.nanmax(ind.rsi(walk(200))) <= 100
     flat = ind.rsi(np.full(30, 5.0))

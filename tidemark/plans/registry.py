@@ -416,9 +416,7 @@ def true_range_series(s, d):
 
 @query(WITH_I + "SELECT exchange, symbol, round(ema20, 6) AS ema20 FROM i WHERE rn = n")
 def ema20_last(s, d):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("open_ms", "close"))), lambda x: x["close"])
-    one = paging.newest_per_group(hourly(s, d).where("closed"), ind.SERIES, "open_ms", 100_000).groupBy(*ind.SERIES).agg(ordered.alias("closes"))
-    return rounded(one.select("exchange", "symbol", ind.ema_last(F.col("closes"), 20).alias("ema20")))
+    return rounded(paging.latest_per_group(ind.with_indicators(hourly(s, d)), ind.SERIES, "open_ms").select("exchange", "symbol", "ema20"))
 
 
 SNAPSHOT = ["close", "ema20", "ema50", "ema200", "rsi14", "macd", "macd_signal", "macd_hist", "atr14", "volume", "volume_mean", "volume_ratio"]
