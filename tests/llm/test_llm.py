@@ -319,9 +319,10 @@ def near_lines(a, b):
 
 def brute_lines(docs):
     """Places of the lines that go, by (id, text)."""
-    from pyspark.sql import functions as F  # noqa: F401
+    import xxhash
 
-    rows = sorted({(i, t) for i, t in docs if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    th = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    rows = sorted({(i, t) for i, t in docs if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, th(r[1])))
     lines = [(i, t, j, x.strip(" ").lower()) for i, t in rows for j, x in enumerate(t.split("\n")) if x.strip(" ")]
     return {(i, t): sorted({l[2] for n, l in enumerate(lines) if l[:2] == (i, t) and any(near_lines(k[3], l[3]) for k in lines[:n])}) for i, t in rows}
 
