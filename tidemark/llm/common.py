@@ -74,6 +74,13 @@ def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its input has fewer splits than there are cores, which only small inputs have: a table
+    of one row group would otherwise be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lower_ascii(text):
     """A-Z in lower case and nothing else. lower() does that where there are no other letters."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
+from tidemark.llm.common import spread
 from tidemark.llm import decontamination, embedding_dedup, language, line_dedup, pieces, quality, sharding, simhash, token_counts, token_files
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
