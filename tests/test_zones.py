@@ -89,3 +89,21 @@ def test_scores_are_sums_and_mirror(spark, wave):
 def test_too_little_history_is_not_neutral(spark, wave):
     got = scoring.score_series(structure.prepared(bars(spark, from_closes(wave)[:60]))).first()
     assert (got.status, got.direction, got.long_score) == ("INSUFFICIENT_HISTORY", None, None)
+
+
+def test_filtered_markets_take_no_part_in_the_horizon(spark, wave):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import evaluation
+
+    rows = from_closes(wave)
+    candles = bars(spark, rows).unionByName(bars(spark, rows, "Y")).unionByName(bars(spark, rows[:100], "Z"))
+    out = spark.createDataFrame([("Z", "S")], "exchange string, symbol string")
+    whole = evaluation.structure_at_horizon(candles, "1h", 260 * H, ["symbol"]).first()
+    assert (whole.horizon_status, whole.usable) == ("relative_lag_stale", False)
+    part = evaluation.structure_at_horizon(candles, "1h", 260 * H, ["symbol"], filtered=out).first()
+    assert (part.horizon_status, part.common_ms, part.evaluated, part.skipped, part.usable) == ("ok", 259 * H, 2, 1, True)
+    facts = evaluation.overlay(structure.prepared(candles.where("exchange = 'X'"))).collect()
+    assert {"swing pivot", "internal pivot", "internal event", "liquidity"} <= {r.kind for r in facts}
+    assert all(r.confirmed_ms <= 260 * H and (r.ended_ms is None or r.ended_ms > r.event_ms) for r in facts)
+    assert candles.where(F.col("exchange") == "Z").count() == 100

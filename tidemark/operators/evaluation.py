@@ -39,12 +39,18 @@ def evaluate_custom(snapshots: DataFrame, candles: DataFrame, periods: dict = PE
     return out.select(*SERIES, F.col("at_ms").alias("open_ms"), "status", "reason", *kept)
 
 
-def structure_at_horizon(candles: DataFrame, timeframe: str, now_ms: int | Column, group: list[str], least: int = 2, swing: int = scoring.SWING, internal: int = scoring.INTERNAL) -> DataFrame:
+def structure_at_horizon(candles: DataFrame, timeframe: str, now_ms: int | Column, group: list[str], least: int = 2, swing: int = scoring.SWING, internal: int = scoring.INTERNAL, filtered: DataFrame | None = None) -> DataFrame:
     """Structure verdict of each group of venues at their common horizon: (group, horizon, votes, usable).
 
     candles: one timeframe, with the group's columns, one market of a group at each venue. Every venue is evaluated on candles up to the horizon only; the
-    vote counts if the horizon is ok and every verdict rests on the horizon's candle."""
+    vote counts if the horizon is ok and every verdict rests on the horizon's candle. filtered (exchange, symbol): markets
+    that take no part in the horizon and are not evaluated, but count among the results as skipped."""
     members = candles.select(*dict.fromkeys([*group, *MARKET])).distinct()
+    left_out = None
+    if filtered is not None:
+        left_out = members.join(filtered.select(*MARKET), MARKET, "left_semi")
+        members = members.join(filtered.select(*MARKET), MARKET, "left_anti")
+        candles = candles.join(filtered.select(*MARKET), MARKET, "left_anti")
     horizon = decision.common_horizon(members.select(*group, "exchange").distinct(), candles, timeframe, now_ms, group, "exchange")
     horizon = settled(horizon)
     usable = horizon.where("status = 'ok'").select(*group, F.col("common_ms").alias("at_ms"))
@@ -53,11 +59,14 @@ def structure_at_horizon(candles: DataFrame, timeframe: str, now_ms: int | Colum
     verdicts = scoring.score_series(rows, swing, internal)
     seen = rows.groupBy(*SERIES).agg(F.max("open_ms").alias("open_ms"))
     results = verdicts.join(seen, SERIES).join(members, MARKET).select(*group, "open_ms", "status", "direction", "long_score", "short_score")
+    if left_out is not None:
+        none = {c: F.lit(None).cast(t) for c, t in results.dtypes if c not in group}
+        results = results.unionByName(left_out.select(*group).withColumns(none | {"status": F.lit("filtered")}))
     votes = decision.vote(results, group, least)
     aligned = decision.alignment(results, group, timeframe).select(*group, "safe")
     out = horizon.join(votes, group, "left").join(aligned, group, "left")
     ok = (F.col("status") == "ok") & F.coalesce("safe", F.lit(False))
-    return out.select(*group, F.col("status").alias("horizon_status"), "common_ms", "relative_lag", "absolute_lag", "evaluated", "long_votes", "short_votes", "neutral_votes", ok.alias("usable"), F.when(ok, F.col("direction")).alias("direction"), F.when(ok, F.col("confirmation")).alias("confirmation"))
+    return out.select(*group, F.col("status").alias("horizon_status"), "common_ms", "relative_lag", "absolute_lag", "evaluated", "skipped", "long_votes", "short_votes", "neutral_votes", ok.alias("usable"), F.when(ok, F.col("direction")).alias("direction"), F.when(ok, F.col("confirmation")).alias("confirmation"))
 
 
 def overlay(rows: DataFrame, swing: int = scoring.SWING, internal: int = scoring.INTERNAL) -> DataFrame:
