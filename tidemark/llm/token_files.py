@@ -28,7 +28,7 @@ from tidemark.llm.common import need, new_path
 from tidemark.llm.segments import Remembered, as_byte_chars, plain_letters
 
 #: Ids of a sequence, sequences of a record batch, and bytes of text that a file is made of.
-LENGTH, BATCH, FILE_BYTES = 2048, 256, 64 << 20
+LENGTH, BATCH, FILE_BYTES = 2048, 256, 32 << 20
 #: Characters that end words and are one run of marks to the splitter.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _id_coders: dict[str, IdCoder] = {}
