@@ -70,6 +70,14 @@ def test_parameters():
             bad()
 
 
+def test_snapshot_parameters():
+    assert config.snapshot_parameters([]) == {"top": 10, "timeframes": ["1h"], "history": 300, "plan": False}
+    assert config.snapshot_parameters(["--top=5", "--timeframes=5m,1h,5m", "--timeframe=4h", "--history=200", "--plan"]) == {"top": 5, "timeframes": ["5m", "1h"], "history": 200, "plan": True}
+    for bad in (["--top=0"], ["--top=1.5"], ["--history=199"], ["--top", "5"], ["--limit=5"], ["--timeframe=2h"]):
+        with pytest.raises(ValueError):
+            config.snapshot_parameters(bad)
+
+
 def test_journal(spark):
     lines = [(1, 0, "INFO", "[sync]  two\n lines"), (2, 0, "WARN", "my PASSWORD is x"), (3, 0, "INFO", "y" * 500), (4, 0, "INFO", "plain")]
     got = journal.journal(spark.createDataFrame(lines, "seq long, ts long, level string, message string"))

@@ -79,10 +79,15 @@ def test_block_by_hand(spark):
 
 def test_scores_are_sums_and_mirror(spark, wave):
     rows = from_closes(wave)
-    a = scoring.score_series(structure.prepared(bars(spark, rows)), swing=5).first()
+    scored = scoring.score_series(structure.prepared(bars(spark, rows)), swing=5)
+    a, a_schema = scored.first(), scored.schema
     b = scoring.score_series(structure.prepared(bars(spark, mirrored(rows))), swing=5).first()
     assert a.status == b.status == "evaluated"
     assert (a.long_score, a.short_score) == (sum(a.long_parts), sum(a.short_parts)) == (b.short_score, b.long_score)
+    assert set(a.soft_codes) <= {"STRUCTURE_UNDEFINED", "STRUCTURE_TRANSITION", "NO_RECENT_LIQUIDITY_SWEEP", "NO_SWING_ORDER_BLOCK", "NO_INTERNAL_ORDER_BLOCK", "NO_ACTIVE_FVG", "NO_ACTIVE_DEALING_RANGE"} and set(a.soft_codes) == set(b.soft_codes)
+    assert ("NO_SWING_ORDER_BLOCK" in a.soft_codes) <= (a.long_parts.swing_block == a.short_parts.swing_block == 0)
+    why = scoring.reasons(spark.createDataFrame([a], a_schema)).collect()
+    assert [r.label for r in why[:9]] == [f"[{c}]" for c in scoring.CODES.values()] and sum(r.weight for r in why if r.long) == a.long_score and sum(r.weight for r in why if r.short) == a.short_score
     assert sum(scoring.WEIGHTS.values()) == 100 and a.long_score + a.short_score <= 100
 
 

@@ -13,6 +13,8 @@ from tidemark.sources.tables import settled
 WEIGHTS = {"swing": 20, "bos": 15, "internal": 10, "sweep": 10, "swing_block": 15, "internal_block": 5, "gap": 10, "range": 10, "overlap": 5}
 FRESH = {"bos": 10, "sweep": 5, "block": 20, "gap": 20}
 MINIMUM, SWING, INTERNAL, BAND = 72, 20, 3, 0.02
+# Codes of the components' reasons.
+CODES = {"swing": "SWING_TREND", "bos": "RECENT_SWING_BOS", "internal": "INTERNAL_TREND", "sweep": "LIQUIDITY_SWEEP", "swing_block": "SWING_ORDER_BLOCK", "internal_block": "INTERNAL_ORDER_BLOCK", "gap": "FVG", "range": "RANGE_POSITION", "overlap": "OB_FVG_CONFLUENCE"}
 
 
 def minimum_history(swing: int = SWING) -> int:
@@ -38,6 +40,7 @@ def latest(facts: DataFrame, at: str, fresh: int, last: DataFrame, fields: list[
 
 def score_series(rows: DataFrame, swing: int = SWING, internal: int = INTERNAL, weights: dict = WEIGHTS, minimum: int = MINIMUM, fresh: dict = FRESH, band: float = BAND) -> DataFrame:
     """rows: structure.prepared. A series that cannot be evaluated has a status and no scores, which is not NEUTRAL.
+    soft_codes say what an evaluated one lacks.
 
     Facts that several components rest on are settled first: five hundred candles a series and what is found in them."""
     rows = settled(rows)
@@ -95,12 +98,16 @@ def score_series(rows: DataFrame, swing: int = SWING, internal: int = INTERNAL,
         out = out.withColumn(f"{name}_parts", F.struct(*[p.alias(k) for k, p in points.items()])).withColumn(f"{name}_score", F.when(F.col("status") == "evaluated", sum(points.values(), F.lit(0))))
     up, down = F.col("long_score") >= minimum, F.col("short_score") >= minimum
     direction = F.when(F.col("status") == "evaluated", F.when(up & ~down, "LONG").when(down & ~up, "SHORT").otherwise("NEUTRAL"))
-    return out.select(*SERIES, "bars", "status", "swing_phase", "internal_phase", "long_score", "short_score", "long_parts", "short_parts", direction.alias("direction"), F.coalesce(up & down, F.lit(False)).alias("conflict"))
+    phase_known = F.col("swing_phase").isNotNull()
+    missing = {"STRUCTURE_UNDEFINED": ~phase_known, "STRUCTURE_TRANSITION": F.col("swing_phase").startswith("REVERSAL"), "NO_RECENT_LIQUIDITY_SWEEP": F.col("sweep").isNull(), "NO_SWING_ORDER_BLOCK": F.col("swing_block").isNull(), "NO_INTERNAL_ORDER_BLOCK": F.col("internal_block").isNull(), "NO_ACTIVE_FVG": F.col("gap").isNull(), "NO_ACTIVE_DEALING_RANGE": F.col("low").isNull()}
+    codes = F.array_compact(F.array(*[F.when(test, code) for code, test in missing.items()]))
+    out = out.withColumn("soft_codes", F.when(F.col("status") == "evaluated", codes))
+    return out.select(*SERIES, "bars", "status", "swing_phase", "internal_phase", "long_score", "short_score", "long_parts", "short_parts", direction.alias("direction"), F.coalesce(up & down, F.lit(False)).alias("conflict"), "soft_codes")
 
 
 def reasons(scores: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
     """A row for each component of each scored series: its label, which sides have its points, and its weight."""
-    entry = lambda k, w: F.struct(F.lit(f"[{k.upper()}]").alias("label"), (F.col(f"long_parts.{k}") > 0).alias("long"), (F.col(f"short_parts.{k}") > 0).alias("short"), F.lit(w).cast("double").alias("weight"), F.concat(F.col(f"long_parts.{k}").cast("string"), F.lit("/"), F.col(f"short_parts.{k}").cast("string")).alias("value"))
+    entry = lambda k, w: F.struct(F.lit(f"[{CODES[k]}]").alias("label"), (F.col(f"long_parts.{k}") > 0).alias("long"), (F.col(f"short_parts.{k}") > 0).alias("short"), F.lit(w).cast("double").alias("weight"), F.concat(F.col(f"long_parts.{k}").cast("string"), F.lit("/"), F.col(f"short_parts.{k}").cast("string")).alias("value"))
     listed = F.array(*[entry(k, w) for k, w in weights.items()])
     conflict = F.when(F.col("conflict"), F.array(F.struct(F.lit("[DIRECTION_CONFLICT]").alias("label"), F.lit(True).alias("long"), F.lit(True).alias("short"), F.lit(0.0).alias("weight"), F.lit(None).cast("string").alias("value"))))
     every = F.concat(listed, F.coalesce(conflict, F.filter(listed, lambda x: F.lit(False))))

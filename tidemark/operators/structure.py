@@ -200,6 +200,14 @@ def structure_events(rows: DataFrame, left: int, right: int) -> DataFrame:
     return rows.groupBy(*SERIES).applyInPandas(kernel, SERIES_TYPES + EVENTS)
 
 
+def structure_levels(pivots: DataFrame, events: DataFrame) -> DataFrame:
+    """The level that each pivot is: open, or consumed by the break that went through it. A taken back change of
+    character consumes none."""
+    used = events.where("type in ('BOS', 'CHOCH')").select(*SERIES, F.when(F.col("dir") == "up", "high").otherwise("low").alias("kind"), F.col("level_ms").alias("event_ms"), F.col("confirmed_ms").alias("consumed_ms"), F.col("type").alias("consumed_by"))
+    out = pivots.join(used, [*SERIES, "kind", "event_ms"], "left")
+    return out.withColumn("state", F.when(F.col("consumed_ms").isNull(), "ACTIVE").otherwise("CONSUMED")).select(*SERIES, "kind", "price", "event_ms", "confirmed_ms", "state", "consumed_ms", "consumed_by")
+
+
 def dealing_ranges(events: DataFrame) -> DataFrame:
     """Ranges between a BOS level's side and its protected anchor. A BOS with an anchor opens one; the next BOS with an
     anchor, or a CHOCH, closes it; an invalidation changes nothing."""

@@ -192,6 +192,30 @@ def cursor_param(raw: str | None, now_ms: int) -> int | None:
     return int(raw)
 
 
+def snapshot_parameters(arguments: list[str]) -> dict:
+    """Of a snapshot run: top, timeframes and history from --name=value flags. Unknown or malformed ones are errors;
+    --timeframes comes before --timeframe; plan: only what a run would do."""
+    known, given = {"top", "timeframe", "timeframes", "history"}, {}
+    for a in arguments:
+        name, eq, value = a.removeprefix("--").partition("=")
+        if a == "--plan":
+            continue
+        if not a.startswith("--") or not eq or name not in known:
+            raise ValueError(f"{a}: is unknown")
+        given.setdefault(name, value)
+
+    def whole(name: str, default: int, least: int, most: int) -> int:
+        raw = given.get(name)
+        if raw is None:
+            return default
+        if not re.fullmatch("[0-9]+", raw.strip()) or not least <= int(raw) <= most:
+            raise ValueError(f"{name}: a whole number from {least} to {most}")
+        return int(raw)
+
+    frames = timeframe_list(given["timeframes"]) if "timeframes" in given else timeframe_list(given.get("timeframe", "1h"))[:1]
+    return {"top": whole("top", 10, 1, 500), "timeframes": frames, "history": whole("history", 300, 200, 1000), "plan": "--plan" in arguments}
+
+
 def timeframe_list(raw: str) -> list[str]:
     """Comma-separated timeframes, each once, in their order."""
     return list(dict.fromkeys(timeframe_param(t) for t in raw.split(",")))

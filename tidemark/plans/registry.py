@@ -236,6 +236,11 @@ def markets_with_candles(s, d):
     return reports.markets_with_candles(markets(s, d), hourly(s, d)).select("exchange", "symbol")
 
 
+@query(WITH_A + "SELECT symbol, rank, markets FROM a WHERE symbol = 'Brand#12'")
+def asset_by_symbol(s, d):
+    return reports.ranked_assets(markets(s, d)).where(F.col("symbol") == "Brand#12").select("symbol", F.col("rank").cast("long").alias("rank"), "markets")
+
+
 @query(WITH_A + "SELECT symbol, rank FROM a WHERE rank <= 6 ORDER BY rank")
 def top_ranked_assets(s, d):
     assets = reports.ranked_assets(markets(s, d)).withColumn("enabled", F.lit(True))
@@ -494,6 +499,14 @@ def dealing_ranges(s, d):
     return rounded(structure.dealing_ranges(structure.structure_events(structure.horizon(hourly(s, d)), 5, 5)))
 
 
+@query(f"""WITH RECURSIVE {sql.HOURLY}, {sql.breaks(5, 5)}, pv AS ({sql.pivots(5, 5, 'high')} UNION ALL {sql.pivots(5, 5, 'low')})
+  SELECT pv.exchange, pv.symbol, kind, round(price, 6) AS price, pv.event_ms, pv.confirmed_ms, CASE WHEN be.type IS NULL THEN 'ACTIVE' ELSE 'CONSUMED' END AS state, be.confirmed_ms AS consumed_ms, be.type AS consumed_by
+  FROM pv LEFT JOIN be ON be.exchange = pv.exchange AND be.symbol = pv.symbol AND be.type IN ('BOS', 'CHOCH') AND (be.dir = 'up') = (kind = 'high') AND be.level_ms = pv.event_ms""")
+def structure_levels(s, d):
+    rows = structure.horizon(hourly(s, d))
+    return rounded(structure.structure_levels(structure.both_pivots(rows, 5, 5), structure.structure_events(rows, 5, 5)).drop("timeframe"))
+
+
 @query()
 def liquidity_levels(s, d):
     return zones.liquidity_levels(structure_rows(s, d), 5, 5)

@@ -83,7 +83,7 @@ def breaks(left: int, right: int) -> str:
     return f"""z AS (SELECT *, open_ms + 3600000 AS close_ms, row_number() OVER (PARTITION BY exchange, symbol ORDER BY open_ms) AS rn FROM ({cut(500)})),
     nw AS (SELECT exchange, symbol, confirmed_ms, list({{'c': confirmed_ms, 'e': event_ms, 'p': price}}) FILTER (kind = 'high') AS nu, list({{'c': confirmed_ms, 'e': event_ms, 'p': price}}) FILTER (kind = 'low') AS nd
       FROM ({pivots(left, right, 'high')} UNION ALL {pivots(left, right, 'low')}) GROUP BY ALL),
-    b AS (SELECT z.exchange, z.symbol, rn, open_ms, close_ms, close, coalesce(nu, []::{level}[]) AS nu, coalesce(nd, []::{level}[]) AS nd FROM z LEFT JOIN nw ON nw.exchange = z.exchange AND nw.symbol = z.symbol AND nw.confirmed_ms = z.close_ms),
+    b AS MATERIALIZED (SELECT z.exchange, z.symbol, rn, open_ms, close_ms, close, coalesce(nu, []::{level}[]) AS nu, coalesce(nd, []::{level}[]) AS nd FROM z LEFT JOIN nw ON nw.exchange = z.exchange AND nw.symbol = z.symbol AND nw.confirmed_ms = z.close_ms),
     st AS (SELECT exchange, symbol, 0::BIGINT AS rn, []::{level}[] AS u, []::{level}[] AS d, NULL::VARCHAR AS trend, NULL::VARCHAR AS ps, NULL::{level} AS pl, NULL::BIGINT AS pt, -1::BIGINT AS lu, -1::BIGINT AS ld,
         NULL::VARCHAR AS type, NULL::VARCHAR AS dir, NULL::{level} AS lv, NULL::{level} AS anchor, 0::BIGINT AS event_ms, 0::BIGINT AS confirmed_ms FROM z WHERE rn = 1
       UNION ALL SELECT exchange, symbol, rn, CASE WHEN type IN ('BOS', 'CHOCH') AND dir = 'up' THEN list_filter(u, lambda v: v <> lv) ELSE u END, CASE WHEN type IN ('BOS', 'CHOCH') AND dir = 'down' THEN list_filter(d, lambda v: v <> lv) ELSE d END,
@@ -99,5 +99,5 @@ def breaks(left: int, right: int) -> str:
           coalesce(CASE WHEN ps = 'up' THEN close < pl.p WHEN ps = 'down' THEN close > pl.p WHEN trend = 'up' THEN close < ad.p WHEN trend = 'down' THEN close > au.p ELSE len(u) > 0 AND len(d) > 0 AND close < ad.p END, false) AS back FROM (
         SELECT *, {greatest('u')} AS au, {greatest('d')} AS ad, CASE ps WHEN 'up' THEN {since('u', 'pt + 1')} WHEN 'down' THEN {since('d', 'pt + 1')} END AS tp, CASE trend WHEN 'up' THEN {since('u', 'lu')} WHEN 'down' THEN {since('d', 'ld')} END AS oni FROM (
         SELECT b.exchange, b.symbol, b.rn, b.open_ms, b.close_ms, b.close, list_concat(st.u, b.nu) AS u, list_concat(st.d, b.nd) AS d, trend, ps, pl, pt, lu, ld FROM st JOIN b ON b.exchange = st.exchange AND b.symbol = st.symbol AND b.rn = st.rn + 1 WHERE st.type IS DISTINCT FROM 'AMBIGUOUS')))))),
-    be AS (SELECT exchange, symbol, '1h' AS timeframe, type, CASE WHEN type <> 'AMBIGUOUS' THEN dir END AS dir, CASE WHEN type <> 'AMBIGUOUS' THEN lv.p END AS level, CASE WHEN type <> 'AMBIGUOUS' THEN lv.e END AS level_ms, event_ms, confirmed_ms, anchor.p AS anchor_price, anchor.e AS anchor_ms
+    be AS MATERIALIZED (SELECT exchange, symbol, '1h' AS timeframe, type, CASE WHEN type <> 'AMBIGUOUS' THEN dir END AS dir, CASE WHEN type <> 'AMBIGUOUS' THEN lv.p END AS level, CASE WHEN type <> 'AMBIGUOUS' THEN lv.e END AS level_ms, event_ms, confirmed_ms, anchor.p AS anchor_price, anchor.e AS anchor_ms
       FROM st WHERE type IS NOT NULL QUALIFY type = 'AMBIGUOUS' OR NOT max(type = 'AMBIGUOUS') OVER (PARTITION BY exchange, symbol))"""
