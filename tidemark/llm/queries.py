@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from tidemark.llm.common import spread
-from tidemark.llm import decontamination, embedding_dedup, language, line_dedup, pieces, quality, sharding, simhash, token_counts, token_files
+from tidemark.llm import decontamination, embedding_dedup, language, line_dedup, pieces, quality, sharding, simhash, substring_dedup, token_counts, token_files
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -58,7 +58,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_token_files, op4_pieces, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_decontamination, op9_language, op10_token_counts)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_token_files, op4_pieces, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_decontamination, op9_language, op10_token_counts, op13_substring_dedup)}
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -76,4 +80,10 @@ ORACLE_SQL: dict[str, str] = {
       l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
       r AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u)
       SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.u = v.vec_id) AS n_links, min(r.w) AS component_id, v.vec_id = min(r.w) AS kept FROM v JOIN r ON r.u = v.vec_id GROUP BY v.vec_id""",
+    "op13_substring_dedup": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      p AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+      h AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM p JOIN (SELECT win FROM p GROUP BY win HAVING count(*) > 1) USING (win)),
+      e AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+      s AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS kept FROM e ANTI JOIN h USING (r, k) GROUP BY r)
+      SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)""",
 }
