@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from tidemark.llm.common import spread
-from tidemark.llm import decontamination, embedding_dedup, language, line_dedup, merkle, pieces, quality, sharding, simhash, substring_dedup, token_counts, token_files
+from tidemark.llm import decontamination, embedding_dedup, language, line_dedup, merkle, pieces, quality, sharding, simhash, substring_dedup, token_counts, token_files, whitening
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -59,6 +59,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")
     return merkle.verified_rows(table(spark, sf_dir, "documents"), tampered)
@@ -68,7 +73,7 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_token_files, op4_pieces, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_decontamination, op9_language, op10_token_counts, op12_merkle_manifest, op13_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_token_files, op4_pieces, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_decontamination, op9_language, op10_token_counts, op11_embedding_whitening, op12_merkle_manifest, op13_substring_dedup)}
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
