@@ -41,8 +41,6 @@ from tidemark.llm.common import map_texts, need, sent_if_small, written
 
 #: Words of a window, of a hashed run, of a slice that is worked on at once, of a shard, and different pieces of one anchor at most.
 WINDOW, GRAM, SLICE, SHARD_WORDS, CROWD = 35, 16, 1 << 20, 200_000, 1_000
-#: Pieces up to which the list of places to read again is sent to all executors.
-SENT_PIECES = 2_000_000
 BASE, OTHER_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LOW = np.uint64((1 << 28) - 1)
 
@@ -265,18 +263,23 @@ def streamed(window: int):
     return run
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """df, which grows with the corpus: it is shuffled at every size, as it must be at the large ones."""
+    return df.hint("merge")
+
+
 def repeated_spans(docs: DataFrame, prints: DataFrame, window: int, shard_words: int = SHARD_WORDS, crowd: int = CROWD) -> DataFrame:
     """(id, th, at, n): stretches of words that repeated windows cover; they may overlap. docs: (id, th, text)."""
     kind = dict(docs.dtypes)["id"]
     each = prints.select("id", "th", F.explode("pieces").alias("p")).select("id", "th", "p.*")
     anchors = each.groupBy("anchor").agg(F.count("*").alias("c"), F.min("piece").alias("low"), F.max("piece").alias("high")).where("c > 1")
-    anchors = sent_if_small(written(anchors.select("anchor", (F.col("low") != F.col("high")).alias("open")), "anchors"))
+    anchors = grows(written(anchors.select("anchor", (F.col("low") != F.col("high")).alias("open")), "anchors"))
     met = written(each.join(anchors, "anchor"), "met")
     whole = met.where("not open").select("id", "th", "at", "n")
     # Anchors with different pieces: each distinct one, where it stands first, and its copies.
     place = F.struct(F.col("id").isNotNull().alias("named"), "id", "th", "at", "n")
     distinct = written(met.where("open").groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "pieces")
-    copied = sent_if_small(distinct.where("copies > 1").select("anchor", "piece"))
+    copied = grows(distinct.where("copies > 1").select("anchor", "piece"))
     whole = whole.union(met.where("open").join(copied, ["anchor", "piece"], "left_semi").select("id", "th", "at", "n"))
     crowded = distinct.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > crowd)
     crowded = sent_if_small(written(crowded.select("anchor", F.lit(True).alias("crowded")), "crowded"))
@@ -284,8 +287,7 @@ def repeated_spans(docs: DataFrame, prints: DataFrame, window: int, shard_words:
     total = reference.where("not crowded").agg(F.sum("n")).first()[0] or 0
     # Documents with such pieces are read again.
     holders = reference.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "copies", "at", "n", "crowded")).alias("places"))
-    holders = sent_if_small(holders, SENT_PIECES // 8, F.size("places"))
-    again = docs.alias("d").join(holders.alias("h"), F.expr("d.id <=> h.id and d.th = h.th")).select("d.id", "d.th", "d.text", "h.places")
+    again = docs.alias("d").join(grows(holders).alias("h"), F.expr("d.id <=> h.id and d.th = h.th")).select("d.id", "d.th", "d.text", "h.places")
     found = map_texts(again, stretches(window), f"id {kind}, th long, anchor long, copies long, at int, words string, windows array<struct<a:long,b:long>>")
     if not prints.groupBy("id", "th").count().where("count > 1").isEmpty():  # repeated rows are references once
         found = found.dropDuplicates(["id", "th", "at", "anchor"])
@@ -296,7 +298,7 @@ def repeated_spans(docs: DataFrame, prints: DataFrame, window: int, shard_words:
     single = dealt.mapInArrow(streamed(window), f"id {kind}, th long, at int, n int")
     wins = found.where("windows is not null").select("id", "th", "at", "copies", F.posexplode("windows").alias("pos", "w")).select("id", "th", (F.col("at") + F.col("pos")).alias("at"), "copies", "w.*")
     twice = wins.groupBy("a", "b").agg(F.sum("copies").alias("c")).where("c > 1").select("a", "b")
-    by_hash = wins.where("copies = 1").join(twice, ["a", "b"], "left_semi").select("id", "th", "at", F.lit(window).alias("n"))
+    by_hash = wins.where("copies = 1").join(grows(twice), ["a", "b"], "left_semi").select("id", "th", "at", F.lit(window).alias("n"))
     return whole.union(single).union(by_hash)
 
 
@@ -326,14 +328,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = written(prints, "prints")
     spans = repeated_spans(rows, prints, window, **sizes)
     spans = written(spans.groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("spans")), "spans")
-    sent = sent_if_small(spans, SENT_PIECES // 8, F.size("spans"))
     # Without texts asked for, documents that lose nothing are not read again.
-    hit = rows.alias("d").join(sent.alias("s"), F.expr("d.id <=> s.id and d.th = s.th"), "left" if with_text else "inner")
+    hit = rows.alias("d").join(grows(spans).alias("s"), F.expr("d.id <=> s.id and d.th = s.th"), "left" if with_text else "inner")
     hit = hit.select("d.id", "d.text", F.coalesce("s.spans", F.array().cast("array<struct<at:int,n:int>>")).alias("spans"))
     found = map_texts(hit, cut, f"id {kind}, n_words long, n_removed long, kept string")
     found = found.select("id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), *(["kept"] if with_text else []))
     if not with_text:
-        keys = sent_if_small(spans.select(F.col("id").alias("_id"), F.col("th").alias("_th")))
+        keys = grows(spans.select(F.col("id").alias("_id"), F.col("th").alias("_th")))
         rest = prints.drop("pieces").join(keys, F.expr("id <=> _id and th = _th"), "left_anti")
         found = found.union(rest.select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256")))
     return found.withColumnRenamed("id", id_col)
