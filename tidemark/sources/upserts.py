@@ -12,10 +12,13 @@ CANDLE_KEY = [*SERIES, "open_ms"]
 
 
 def latest_wins(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both, incoming ones in place of stored ones with the same key. One shuffle on the key; of several
-    incoming rows with a key the one that `seq` says is last."""
+    """Rows of both, incoming ones in place of stored ones with the same key. One shuffle on the key; of several rows
+    with a key the one that `seq` says is last. If stored rows have a seq as well, an older answer that comes late does not
+    replace a newer one; of equal ones the incoming one stays."""
     columns = stored.columns
-    both = stored.withColumn("_seq", F.lit(-1).cast("long")).unionByName(incoming.select(*columns, F.col("seq").cast("long").alias("_seq")))
+    kept = F.col("seq").cast("long") if "seq" in columns else F.lit(-1).cast("long")
+    order = lambda seq, new: F.struct(seq.alias("seq"), F.lit(new).alias("new")).alias("_seq")
+    both = stored.select("*", order(kept, 0)).unionByName(incoming.select(*columns, order(F.col("seq").cast("long"), 1)))
     others = [c for c in columns if c not in keys]
     return both.groupBy(*keys).agg(F.max_by(F.struct(*others), "_seq").alias("row")).select(*keys, *[F.col("row")[c].alias(c) for c in others]).select(*columns)
 
