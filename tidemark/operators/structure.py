@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import SERIES, by_time, with_indicators
 from tidemark.functions.timeframes import duration
+from tidemark.operators.crossing import ROWS, first_crossings, probe
 from tidemark.operators.paging import newest_per_group
 
 #: Candles of a series that an evaluation looks at.
@@ -74,33 +75,27 @@ def gaps(rows: DataFrame, least: float = 0.1) -> DataFrame:
     return rows.withColumn("size_atr", (F.col("top") - F.col("bottom")) / F.col("atr14")).where(F.col("size_atr") >= least)
 
 
-def gap_lives(rows: DataFrame, found: DataFrame, age: int = 500) -> DataFrame:
+def gap_lives(rows: DataFrame, found: DataFrame, age: int = 500, size: int = ROWS) -> DataFrame:
     """What later candles do to each gap, up to the first that closes beyond it: touched, half and fully filled,
-    invalidated; expired after `age` candles unless ever invalidated. The join is bounded by the cut of a series."""
-    later = rows.select(*SERIES, F.col("i").alias("j"), F.col("close_ms").alias("at_ms"), "high", "low", "close")
-    ends = rows.select(*SERIES, F.col("i").alias("expiry_i"), F.col("close_ms").alias("expiry_ms"))
-    pairs = found.join(later, SERIES, "left").where((F.col("j") > F.col("i")) | F.col("j").isNull())
+    invalidated; expired after `age` candles unless ever invalidated. Each is the first candle beyond a price; a close beyond
+    the gap has filled it, so that none of them can be later than the invalidation. rows: settled."""
     up = F.col("direction") == "up"
+    near, far = F.when(up, F.col("top")).otherwise(F.col("bottom")), F.when(up, F.col("bottom")).otherwise(F.col("top"))
     half = (F.col("bottom") + F.col("top")) / 2
-    pairs = pairs.withColumn("broken", F.when(up, F.col("close") < F.col("bottom")).otherwise(F.col("close") > F.col("top")))
-    key = [*SERIES, "i"]
-    pairs = pairs.withColumn("end", F.min(F.when(F.col("broken"), F.col("j"))).over(W.partitionBy(*key))).where("end is null or j <= end")
-
-    def first(test) -> F.Column:
-        return F.min(F.when(test, F.col("at_ms")))
-
-    deepest = F.when(up, F.col("top") - F.col("low")).otherwise(F.col("high") - F.col("bottom")) / (F.col("top") - F.col("bottom"))
-    lives = pairs.groupBy(*key).agg(
-        first(F.when(up, F.col("low") < F.col("top")).otherwise(F.col("high") > F.col("bottom"))).alias("touched_ms"),
-        first(F.when(up, F.col("low") <= half).otherwise(F.col("high") >= half)).alias("half_ms"),
-        first(F.when(up, F.col("low") <= F.col("bottom")).otherwise(F.col("high") >= F.col("top"))).alias("filled_ms"),
-        first(F.col("broken")).alias("invalidated_ms"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.max(deepest))).alias("fill"),
-    )
-    out = found.join(lives, key, "left").withColumn("expiry_i", F.col("i") + age).join(ends, [*SERIES, "expiry_i"], "left")
+    reach = lambda name, strict, price: [F.when(up, probe(name, "low", False, strict, price)).otherwise(probe(name, "high", True, strict, price))]
+    closes = F.when(up, probe("invalidated", "close", False, True, far)).otherwise(probe("invalidated", "close", True, True, far))
+    asked = found.select(*SERIES, "i", F.col("i").alias("from_i"), F.explode(F.array(*reach("touched", True, near), *reach("half", False, half), *reach("filled", False, far), closes)).alias("probe"))
+    at = lambda name: F.max(F.when(F.col("name") == name, F.col("found_ms")))
+    names = ["touched", "half", "filled", "invalidated"]
+    lives = first_crossings(rows, asked, ["i"], ["high", "low", "close"], size).groupBy(*SERIES, "i").agg(*[at(n).alias(f"{n}_ms") for n in names], F.max(F.when(F.col("name") == "filled", F.col("extreme"))).alias("reached"))
+    ends = rows.select(*SERIES, F.col("i").alias("expiry_i"), F.col("close_ms").alias("expiry_ms"))
+    out = found.join(lives, [*SERIES, "i"], "left").withColumn("expiry_i", F.col("i") + age).join(ends, [*SERIES, "expiry_i"], "left")
+    depth = F.abs(near - F.col("reached")) / (F.col("top") - F.col("bottom"))
+    inside = F.when(up, F.col("reached") < near).otherwise(F.col("reached") > near)
+    fill = F.when(F.col("filled_ms").isNotNull(), 1.0).when(inside, F.least(F.lit(1.0), depth)).otherwise(0.0)
     expired = F.when(F.col("invalidated_ms").isNull() & F.lit(age > 0), F.col("expiry_ms"))
     state = F.when(F.col("invalidated_ms").isNotNull(), "INVALIDATED").when(F.col("expired_ms").isNotNull(), "EXPIRED").when(F.col("filled_ms").isNotNull(), "FILLED").when(F.col("half_ms").isNotNull(), "CE").when(F.col("touched_ms").isNotNull(), "TOUCHED").otherwise("OPEN")
-    out = out.withColumn("expired_ms", expired).withColumn("state", state).withColumn("fill", F.coalesce("fill", F.lit(0.0)))
+    out = out.withColumn("expired_ms", expired).withColumn("state", state).withColumn("fill", fill)
     return out.select(*SERIES, "event_ms", F.col("close_ms").alias("confirmed_ms"), "direction", "bottom", "top", "size_atr", "touched_ms", "half_ms", "filled_ms", "invalidated_ms", "expired_ms", "fill", "state")
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import SERIES
+from tidemark.operators.crossing import ROWS, first_crossings, probe
 from tidemark.operators.structure import SERIES_TYPES, both_pivots, displacements, of_series
+from tidemark.sources.tables import settled
 
 # Tolerance of equal levels and least excursion of a sweep in ATR, bars that confirm a cluster, ages.
 EQUAL_ATR, SWEEP_ATR, CONFIRM_BARS, LEVEL_AGE, ZONE_AGE = 0.10, 0.05, 2, 750, 750
@@ -111,18 +113,39 @@ def liquidity_levels(rows: DataFrame, left: int, right: int, tolerance: float =
     return level_fates(rows, single.unionByName(equal), sweep, age)
 
 
-def level_fates(rows: DataFrame, levels: DataFrame, sweep: float = SWEEP_ATR, age: int = LEVEL_AGE) -> DataFrame:
-    """state, resolved_ms and resolved_open_ms of levels: the first later candle that breaks, sweeps or outlives each."""
-    key = [*SERIES, "side", "origin", "event_ms"]
-    later = rows.select(*SERIES, F.col("i").alias("j"), F.col("close_ms").alias("at_ms"), F.col("open_ms").alias("at_open_ms"), "high", "low", "close", "atr14")
-    pairs = levels.join(later, SERIES).where(F.col("j") > F.col("created_i"))
-    what = fate(F.col("side"), F.col("price"), F.col("high"), F.col("low"), F.col("close"), F.col("atr14"), sweep)
-    aged = F.lit(age > 0) & (F.col("j") - F.col("created_i") >= age)
-    ends = pairs.withColumn("what", F.coalesce(what, F.when(aged, "EXPIRED"))).where("what is not null")
-    ends = ends.groupBy(*key).agg(F.min_by(F.struct("what", "at_ms", "at_open_ms", "j"), "j").alias("end"))
+def level_fates(rows: DataFrame, levels: DataFrame, sweep: float = SWEEP_ATR, age: int = LEVEL_AGE, size: int = ROWS) -> DataFrame:
+    """state, resolved_ms and resolved_open_ms of levels: the first later candle that breaks, sweeps or outlives each.
+
+    A close beyond is a crossing of the closes; a sweep is one of the wicks less the least excursion, if it comes first.
+    Rounding and closes on the level itself may let in a candle that is none: then the search goes on behind it."""
+    key = ["side", "origin", "event_ms"]
+    own = [*SERIES, *key]
+    reach = sweep * F.col("atr14")
+    rows = settled(rows.select(*SERIES, "i", "open_ms", "close_ms", "high", "low", "close", "atr14", (F.col("high") - reach).alias("upper"), (F.col("low") + reach).alias("lower")))
+    levels = settled(levels)
+    up, slack = F.col("side") == "BUY_SIDE", F.abs("price") * 1e-9
+    candle = rows.select(*SERIES, F.col("i").alias("j"), F.col("close_ms").alias("at_ms"), F.col("open_ms").alias("at_open_ms"), "high", "low", "close", "atr14")
+    pending, ends = levels.select(*own, "price", F.col("created_i").alias("from_i")), None
+    closes = F.when(up, probe("broken", "close", True, True, F.col("price"))).otherwise(probe("broken", "close", False, True, F.col("price")))
+    wicks = F.when(up, probe("swept", "upper", True, False, F.col("price") - slack)).otherwise(probe("swept", "lower", False, False, F.col("price") + slack))
+    at = lambda name: F.min(F.when(F.col("name") == name, F.col("found_i")))
+    while True:
+        asked = pending.select(*own, "from_i", F.explode(F.array(closes, wicks)).alias("probe"))
+        hits = first_crossings(rows, asked, key, ["close", "upper", "lower"], size).groupBy(*own).agg(at("broken").alias("broken"), at("swept").alias("swept"))
+        hits = hits.select(*own, F.least("broken", "swept").alias("j")).where("j is not null")
+        what = fate(F.col("side"), F.col("price"), F.col("high"), F.col("low"), F.col("close"), F.col("atr14"), sweep)
+        hits = settled(hits.join(candle, [*SERIES, "j"]).join(levels.select(*own, "price"), own).select(*own, "price", what.alias("what"), "at_ms", "at_open_ms", "j"))
+        done = hits.where("what is not null").select(*own, F.struct("what", "at_ms", "at_open_ms", "j").alias("end"))
+        ends = done if ends is None else ends.unionByName(done)
+        pending = hits.where("what is null").select(*own, "price", F.col("j").alias("from_i"))
+        if pending.isEmpty():
+            break
     created = rows.select(*SERIES, F.col("i").cast("int").alias("created_i"), F.col("close_ms").alias("created_ms"))
-    out = levels.join(ends, key, "left").join(created, [*SERIES, "created_i"])
-    return out.select(*key, "price", "created_ms", F.coalesce("end.what", F.lit("OPEN")).alias("state"), F.col("end.at_ms").alias("resolved_ms"), F.col("end.at_open_ms").alias("resolved_open_ms"), F.col("end.j").alias("resolved_i"))
+    old = candle.select(*SERIES, F.col("j").alias("old_i"), F.struct(F.lit("EXPIRED").alias("what"), "at_ms", "at_open_ms", "j").alias("aged"))
+    out = levels.join(ends, own, "left").join(created, [*SERIES, "created_i"])
+    out = out.withColumn("old_i", F.when(F.lit(age > 0), F.col("created_i").cast("long") + age)).join(old, [*SERIES, "old_i"], "left")
+    out = out.withColumn("end", F.when(F.col("end.j") <= F.coalesce("aged.j", "end.j"), F.col("end")).otherwise(F.coalesce("aged", "end")))
+    return out.select(*own, "price", "created_ms", F.coalesce("end.what", F.lit("OPEN")).alias("state"), F.col("end.at_ms").alias("resolved_ms"), F.col("end.at_open_ms").alias("resolved_open_ms"), F.col("end.j").alias("resolved_i"))
 
 
 BLOCK = "dir string, start_i int, end_i int, origin_i int, bottom double, top double, event_i int, event_ms long, confirmed_ms long"

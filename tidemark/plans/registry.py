@@ -10,7 +10,8 @@ from tidemark.functions import indicators as ind
 from tidemark.functions.timeframes import DURATION_MS, duration, expected_latest_closed, freshness
 from tidemark.operators import decision, evaluation, journal, paging, predicates, reports, scoring, snapshots, structure, zones
 from tidemark.plans import sql
-from tidemark.sources import bridge, upserts
+from tidemark.sources import bridge, connector, upserts
+from tidemark.sources.tables import settled, shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -439,6 +440,10 @@ def structure_rows(s, d):
     return structure.prepared(hourly(s, d))
 
 
+def settled_rows(s, d):
+    return settled(structure_rows(s, d))
+
+
 @query(f"WITH {sql.HOURLY} " + sql.pivots(5, 5, "high") + " UNION ALL " + sql.pivots(5, 5, "low"))
 def pivots_internal(s, d):
     return structure.both_pivots(structure.horizon(hourly(s, d)), 5, 5).drop("timeframe")
@@ -478,7 +483,7 @@ def fvg_detect(s, d):
   SELECT exchange, symbol, event_ms, direction, touched_ms, half_ms, filled_ms, invalidated_ms, expired_ms, round(fill, 6) AS fill, CASE WHEN invalidated_ms IS NOT NULL THEN 'INVALIDATED' WHEN expired_ms IS NOT NULL THEN 'EXPIRED'
     WHEN filled_ms IS NOT NULL THEN 'FILLED' WHEN half_ms IS NOT NULL THEN 'CE' WHEN touched_ms IS NOT NULL THEN 'TOUCHED' ELSE 'OPEN' END AS state FROM done""")
 def fvg_lifecycle(s, d):
-    rows = structure_rows(s, d)
+    rows = settled_rows(s, d)
     lives = structure.gap_lives(rows, structure.gaps(rows), 100)
     return rounded(lives.select("exchange", "symbol", "event_ms", "direction", "touched_ms", "half_ms", "filled_ms", "invalidated_ms", "expired_ms", "fill", "state"))
 
@@ -509,7 +514,7 @@ def structure_levels(s, d):
 
 @query()
 def liquidity_levels(s, d):
-    return zones.liquidity_levels(structure_rows(s, d), 5, 5)
+    return zones.liquidity_levels(settled_rows(s, d), 5, 5)
 
 
 LEVELS = f"""WITH RECURSIVE {sql.HOURLY}, {sql.recursive(sql.cut(500))}, pv AS ({sql.pivots(5, 5, 'high')} UNION ALL {sql.pivots(5, 5, 'low')}),
@@ -524,13 +529,13 @@ LEVELS = f"""WITH RECURSIVE {sql.HOURLY}, {sql.recursive(sql.cut(500))}, pv AS (
 
 @query(LEVELS)
 def liquidity_structural(s, d):
-    levels = zones.liquidity_levels(structure_rows(s, d), 5, 5, age=100).where("origin = 'STRUCTURAL'")
+    levels = zones.liquidity_levels(settled_rows(s, d), 5, 5, age=100).where("origin = 'STRUCTURAL'")
     return rounded(levels.select("exchange", "symbol", "side", "price", "event_ms", "state", "resolved_ms"))
 
 
 @query()
 def order_blocks_internal(s, d):
-    rows = structure_rows(s, d)
+    rows = settled_rows(s, d)
     return zones.order_blocks(rows, structure.structure_events(rows, 3, 3), structure.gaps(rows), zones.liquidity_levels(rows, 3, 3))
 
 

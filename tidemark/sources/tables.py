@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of a local application that names none.
+_own: dict[str, str] = {}
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, worked out and kept in the folder that spark.checkpoint.dir names, with its lineage cut: plans stay small
-    and lost executors lose nothing. A folder of its own is set only where none is named and all runs on one machine."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. One of its own is made only where none is named and all runs on one
+    machine."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        named = _own[context.applicationId]
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, worked out and written to the shared folder as a table: plans stay small, lost executors lose nothing, and its
+    columns are its own, whatever df was made of."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
