@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import SERIES
+from tidemark.operators.asof import ranked
 from tidemark.operators.predicates import EXCLUDED_BASES, active_market
 
 MARKET = ["exchange", "symbol"]
@@ -149,9 +150,8 @@ def liquidity(markets: DataFrame) -> DataFrame:
 
 
 def ranked_assets(markets: DataFrame, top: int = 500) -> DataFrame:
-    """Assets by score, ties by symbol; one row per asset, which is what the single window holds."""
-    place = F.row_number().over(W.orderBy(F.col("score").desc(), "symbol"))
-    return liquidity(markets).withColumn("rank", place).withColumn("top500", F.col("rank") <= top)
+    """Assets by score, ties by symbol."""
+    return ranked(liquidity(markets), [F.col("score").desc(), F.col("symbol")]).withColumn("top500", F.col("rank") <= top)
 
 
 def top_per_exchange(markets: DataFrame, n: int) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
+from tidemark.functions import scan
 from tidemark.functions.timeframes import DURATION_MS, duration, expected_latest_closed, freshness
-from tidemark.operators import decision, evaluation, journal, paging, predicates, reports, scoring, snapshots, structure, zones
+from tidemark.operators import asof, decision, evaluation, journal, paging, predicates, reports, scoring, snapshots, structure, zones
 from tidemark.plans import sql
 from tidemark.sources import bridge, connector, upserts
 from tidemark.sources.tables import settled, shared_dir
@@ -433,6 +436,41 @@ def indicator_snapshot(s, d):
     return rounded(ind.snapshots(hourly(s, d)).select("exchange", "symbol", "open_ms", *SNAPSHOT))
 
 
+SCANNED = ["ema20", "ema50", "ema200", "rsi14", "macd", "macd_signal", "macd_hist", "atr14", "volume_mean", "volume_ratio"]
+
+
+@query(WITH_I + "SELECT exchange, symbol, open_ms, " + ", ".join(f"round({c}, 6) AS {c}" for c in SCANNED) + " FROM i")
+def indicator_scan(s, d):
+    """All indicators of whole series, as a parallel scan over chunks of two days."""
+    return rounded(scan.indicators_in_chunks(hourly(s, d), rows=48).select("exchange", "symbol", "open_ms", *SCANNED))
+
+
+@query(f"""WITH {sql.ALL}, l AS (SELECT exchange, symbol, open_ms + {H} AS calculated_ms, close FROM c WHERE timeframe = '1h' AND closed),
+  r AS (SELECT exchange, symbol, open_ms + {4 * H} AS close_ms, close AS slow_close, open_ms AS slow_open_ms FROM c WHERE timeframe = '4h' AND closed)
+  SELECT l.*, slow_close, slow_open_ms FROM l ASOF LEFT JOIN r ON l.exchange = r.exchange AND l.symbol = r.symbol AND l.calculated_ms >= r.close_ms""")
+def snapshot_asof(s, d):
+    """Every hourly snapshot with the last four-hour candle that was over by then."""
+    both = every(s, d).where("closed").withColumn("close_ms", F.col("open_ms") + duration(F.col("timeframe")))
+    left = both.where("timeframe = '1h'").select("exchange", "symbol", F.col("close_ms").alias("calculated_ms"), "close")
+    right = both.where("timeframe = '4h'").select("exchange", "symbol", "close_ms", F.col("close").alias("slow_close"), F.col("open_ms").alias("slow_open_ms"))
+    return asof.last_at_or_before(left, right, ["exchange", "symbol"], "calculated_ms", "close_ms", ["slow_close", "slow_open_ms"], width=5 * DURATION_MS["1d"])
+
+
+@query(WITH_1H + "SELECT exchange, symbol, open_ms, open, high, low, close, volume, closed FROM c")
+def recorded_candles(s, d):
+    """Candles written as the answers of five venues, each in its own format, and read back by the data source."""
+    connector.register(s)
+    regions = dict(zip(bridge.VENUES.values(), connector.EXCHANGES))
+    name, back = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for region, venue in regions.items():
+        name, back = F.when(F.col("exchange") == region, venue).otherwise(name), F.when(F.col("exchange") == venue, region).otherwise(back)
+    c = hourly(s, d).withColumn("close_ms", F.col("open_ms") + H - 1).withColumn("fetched_ms", F.col("now_ms")).withColumn("exchange", name)
+    path = f"{shared_dir(s)}/answers-{uuid.uuid4().hex}"
+    connector.record(c, path)
+    read = connector.parse_answers(s.read.format("venue_answers").option("path", path).load())
+    return read.select(back.alias("exchange"), "symbol", "open_ms", "open", "high", "low", "close", "volume", "closed")
+
+
 # Structure
 
 
