@@ -202,7 +202,7 @@ def test_pipeline_against_brute_force(spark, documents, tmp_path):
 ODD_ROWS = [(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (1, None), (1, "x y z"), (1, "x y z"), (2, ""), (2, "x y\n\nz " * 30)]
 OPERATORS = {
     "simhash": lambda s, d: simhash.near_duplicates(d), "wide simhash": lambda s, d: simhash.near_duplicates(d, words=5, radius=4), "sharding": lambda s, d: sharding.shard_rows(d, 3),
-    "files": lambda s, d: token_files.read_token_files(s, *token_files.write_token_files(d, public_tokenizers.path("word_bpe_49k.json"), 2)), "pieces": lambda s, d: pieces.encode_pieces(d, public_tokenizers.path("piece_bpe_32k.model")),
+    "files": lambda s, d: token_files.read_token_files(s, token_files.write_token_files(d, public_tokenizers.path("word_bpe_49k.json"), 2)[0]), "pieces": lambda s, d: pieces.encode_pieces(d, public_tokenizers.path("piece_bpe_32k.model")),
     "lines": lambda s, d: line_dedup.line_report(d), "quality": lambda s, d: quality.classify(d, s.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")), "benchmark": lambda s, d: decontamination.decontaminate(d, s.createDataFrame(list(enumerate(BENCH)), "item_id long, text string")),
     "language": lambda s, d: language.identify(d), "counts": lambda s, d: token_counts.token_counts(d, public_tokenizers.path("byte_bpe_50k.json")),
 }

@@ -27,8 +27,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out, manifest = token_files.write_token_files(docs, public_tokenizers.path(WORD_BPE), end_id=2)
-    return token_files.read_token_files(spark, out, manifest)
+    out, _ = token_files.write_token_files(docs, public_tokenizers.path(WORD_BPE), end_id=2)
+    return token_files.read_token_files(spark, out)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ of one length, written as record batches of two fixed-size-list columns (`ids`,
 A batch can be mapped into memory and sequence k read at once without a copy; the mask is false behind a file's last id.
 Each range of ids gets one file, and a second one with the place of each document in it; how many ranges follows from
 the bytes of the texts. Files are named after the attempt that writes them, and the manifest names those of the attempts
-that ended well, so a task that is run again replaces nothing and renames nothing.
+that ended well, so a task that is run again replaces nothing and renames nothing. The manifest is a file of its own,
+written last: a folder without one holds no finished output, and one with it can be read by any later application.
 
 Defined results: a null text is an empty one, with the end id alone; rows that share an id follow each other, ordered
 by a hash of the text; null ids come first; an empty table gives no files and no rows; other columns are ignored.
@@ -31,6 +32,7 @@ from tidemark.llm.segments import Remembered, as_byte_chars, plain_letters
 LENGTH, BATCH, FILE_BYTES = 2048, 256, 32 << 20
 #: Characters that end words and are one run of marks to the splitter.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MANIFEST = "manifest.json"
 _id_coders: dict[str, IdCoder] = {}
 
 
@@ -77,7 +79,7 @@ class IdCoder:
             low = word.lower()
             if plain_letters(low):  # one pre-token of the pattern
                 return self.pack([t.id for t in self.model.tokenize(as_byte_chars(low))])
-        elif (core := word.rstrip(MARKS)) != word and plain_letters(core):
+        elif (core := word.rstrip(MARKS)) != word and plain_letters(core) and plain_letters(core.lower()):  # a capital I with a dot leaves a mark behind
             return self.words[core] + self.words[word[len(core) :]]
         return self.whole(word)
 
@@ -163,8 +165,9 @@ class SequenceReader:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, batch: int = BATCH, parts: int | None = None) -> tuple[str, list[tuple]]:
     """Writes the files into `out`, a URI that driver and executors can reach (default: the shared folder).
 
-    Returns out and its manifest: (part, name, documents, ids) of each file, in order. One shuffle, by ranges of ids
-    (and of text hashes and rows within an id, so that a frequent one is cut as well); one row a file comes to the driver."""
+    Returns out and its manifest: (part, name, documents, ids) of each file, in order; it is also MANIFEST in the folder,
+    with the type of the ids. One shuffle, by ranges of ids (and of text hashes and rows within an id, so that a
+    frequent one is cut as well); one row a file comes to the driver."""
     spark = docs.sparkSession
     out = out or new_path(spark, "tokens")
     out = out if "://" in out or out.startswith("file:") else f"file://{out}"
@@ -207,17 +210,28 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str | N
     order = ["id", "th", "row"]
     dealt = rows.withColumn("th", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = dealt.select("id", "text").mapInArrow(run, "part int, name string, docs long, ids long").collect()  # a row for each file
-    return out, sorted((r.part, r.name, r.docs, r.ids) for r in found)
+    manifest = sorted((r.part, r.name, r.docs, r.ids) for r in found)
+    with fs.open_output_stream(f"{folder}/{MANIFEST}") as f:
+        f.write(json.dumps({"id": dict(rows.dtypes)["id"], "end": end_id, "length": length, "files": manifest}).encode())
+    return out, manifest
 
 
 def places_schema(b: pa.RecordBatch) -> pa.Schema:
     return pa.schema([("id", b.schema.field(0).type), ("start", pa.int64()), ("n", pa.int64())])
 
 
-def read_token_files(spark, out: str, manifest: list[tuple], id_type: str = "long", id_col: str = "doc_id") -> DataFrame:
+def read_manifest(out: str) -> dict:
+    """What write_token_files wrote last into the folder: id, end, length, files."""
+    fs, folder = pafs.FileSystem.from_uri(out)
+    with fs.open_input_file(f"{folder}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
+def read_token_files(spark, out: str, id_col: str = "doc_id") -> DataFrame:
     """A row per document, from the files: id, start among all ids, number of ids, crc32 of its ids. A task per file."""
-    base, rows = 0, []
-    for part, name, _, ids in manifest:
+    about = read_manifest(out)
+    id_type, base, rows = about["id"], 0, []
+    for part, name, _, ids in about["files"]:
         rows.append((part, name, base))
         base += ids
 
