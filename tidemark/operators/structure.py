@@ -95,8 +95,9 @@ def gap_lives(rows: DataFrame, found: DataFrame, age: int = 500, size: int = ROW
     fill = F.when(F.col("filled_ms").isNotNull(), 1.0).when(inside, F.least(F.lit(1.0), depth)).otherwise(0.0)
     expired = F.when(F.col("invalidated_ms").isNull() & F.lit(age > 0), F.col("expiry_ms"))
     state = F.when(F.col("invalidated_ms").isNotNull(), "INVALIDATED").when(F.col("expired_ms").isNotNull(), "EXPIRED").when(F.col("filled_ms").isNotNull(), "FILLED").when(F.col("half_ms").isNotNull(), "CE").when(F.col("touched_ms").isNotNull(), "TOUCHED").otherwise("OPEN")
+    due = F.when(F.lit(age > 0), F.col("expiry_ms")).alias("due_ms")  # the expiry, whatever came of the gap later
     out = out.withColumn("expired_ms", expired).withColumn("state", state).withColumn("fill", fill)
-    return out.select(*SERIES, "event_ms", F.col("close_ms").alias("confirmed_ms"), "direction", "bottom", "top", "size_atr", "touched_ms", "half_ms", "filled_ms", "invalidated_ms", "expired_ms", "fill", "state")
+    return out.select(*SERIES, "event_ms", F.col("close_ms").alias("confirmed_ms"), "direction", "bottom", "top", "size_atr", "touched_ms", "half_ms", "filled_ms", "invalidated_ms", "expired_ms", "fill", "state", due)
 
 
 SERIES_TYPES = ", ".join(f"{c} string" for c in SERIES) + ", "

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators as ind
 from tidemark.functions import scan
 from tidemark.functions.timeframes import DURATION_MS, duration, expected_latest_closed, freshness
-from tidemark.operators import asof, decision, evaluation, journal, paging, predicates, reports, scoring, snapshots, structure, zones
+from tidemark.operators import asof, decision, evaluation, facts, journal, paging, predicates, reports, scoring, snapshots, structure, zones
 from tidemark.plans import sql
 from tidemark.sources import bridge, connector, upserts
 from tidemark.sources.tables import settled, shared_dir
@@ -509,14 +509,17 @@ def fvg_detect(s, d):
     return rounded(structure.gaps(structure_rows(s, d)).select("exchange", "symbol", "event_ms", F.col("close_ms").alias("confirmed_ms"), "direction", "bottom", "top", "size_atr"))
 
 
-@query(WITH_I500 + GAPS + """, p AS (SELECT fg.*, q.k AS j, q.close_ms AS at_ms, q.high, q.low, q.close, CASE WHEN direction = 'up' THEN q.close < bottom ELSE q.close > top END AS broken FROM fg LEFT JOIN q ON q.exchange = fg.exchange AND q.symbol = fg.symbol AND q.k > fg.k),
+LIVES = """, p AS (SELECT fg.*, q.k AS j, q.close_ms AS at_ms, q.high, q.low, q.close, CASE WHEN direction = 'up' THEN q.close < bottom ELSE q.close > top END AS broken FROM fg LEFT JOIN q ON q.exchange = fg.exchange AND q.symbol = fg.symbol AND q.k > fg.k),
   pe AS (SELECT *, min(CASE WHEN broken THEN j END) OVER (PARTITION BY exchange, symbol, k) AS stop FROM p),
   life AS (SELECT exchange, symbol, k, any_value(event_ms) AS event_ms, any_value(close_ms) AS confirmed_ms, any_value(direction) AS direction,
     min(at_ms) FILTER (CASE WHEN direction = 'up' THEN low < top ELSE high > bottom END) AS touched_ms,
     min(at_ms) FILTER (CASE WHEN direction = 'up' THEN low <= (bottom + top) / 2 ELSE high >= (bottom + top) / 2 END) AS half_ms,
     min(at_ms) FILTER (CASE WHEN direction = 'up' THEN low <= bottom ELSE high >= top END) AS filled_ms, min(at_ms) FILTER (broken) AS invalidated_ms,
     CASE WHEN count(j) = 0 THEN 0 ELSE greatest(0, least(1, max(CASE WHEN direction = 'up' THEN top - low ELSE high - bottom END / (top - bottom)))) END AS fill
-    FROM pe WHERE stop IS NULL OR j <= stop GROUP BY exchange, symbol, k),
+    FROM pe WHERE stop IS NULL OR j <= stop GROUP BY exchange, symbol, k),"""
+
+
+@query(WITH_I500 + GAPS + LIVES + """
   done AS (SELECT life.*, CASE WHEN invalidated_ms IS NULL THEN e.close_ms END AS expired_ms FROM life LEFT JOIN q e ON e.exchange = life.exchange AND e.symbol = life.symbol AND e.k = life.k + 100)
   SELECT exchange, symbol, event_ms, direction, touched_ms, half_ms, filled_ms, invalidated_ms, expired_ms, round(fill, 6) AS fill, CASE WHEN invalidated_ms IS NOT NULL THEN 'INVALIDATED' WHEN expired_ms IS NOT NULL THEN 'EXPIRED'
     WHEN filled_ms IS NOT NULL THEN 'FILLED' WHEN half_ms IS NOT NULL THEN 'CE' WHEN touched_ms IS NOT NULL THEN 'TOUCHED' ELSE 'OPEN' END AS state FROM done""")
@@ -526,6 +529,42 @@ def fvg_lifecycle(s, d):
     return rounded(lives.select("exchange", "symbol", "event_ms", "direction", "touched_ms", "half_ms", "filled_ms", "invalidated_ms", "expired_ms", "fill", "state"))
 
 
+#: Fifty times, five hours apart.
+AS_OF = [1_705_000_000_000 + k * 5 * H for k in range(50)]
+
+
+@query(WITH_I500 + GAPS + LIVES + f"""
+  due AS (SELECT life.*, e.close_ms AS due_ms FROM life LEFT JOIN q e ON e.exchange = life.exchange AND e.symbol = life.symbol AND e.k = life.k + 100),
+  t AS (SELECT unnest(range({AS_OF[0]}, {AS_OF[-1] + 1}, {5 * H})) AS as_of_ms)
+  SELECT as_of_ms, exchange, symbol, 'SMC1|FVG|1h|' || direction || '|' || event_ms AS key, CASE WHEN invalidated_ms <= as_of_ms THEN 'INVALIDATED' WHEN due_ms <= as_of_ms THEN 'EXPIRED' WHEN filled_ms <= as_of_ms THEN 'FILLED'
+    WHEN half_ms <= as_of_ms THEN 'CE' WHEN touched_ms <= as_of_ms THEN 'TOUCHED' ELSE 'OPEN' END AS state FROM due JOIN t ON confirmed_ms <= as_of_ms""")
+def gaps_as_of(s, d):
+    """Every gap as it was known at each of fifty times, from one evaluation."""
+    rows = settled_rows(s, d)
+    known = facts.gap_versions(structure.gap_lives(rows, structure.gaps(rows), 100))
+    return facts.as_of(known, AS_OF).select("as_of_ms", "exchange", "symbol", "key", "state")
+
+
+@query(f"""WITH RECURSIVE {sql.HOURLY}, {sql.recursive(sql.cut(500))}{GAPS}{LIVES}
+  due AS (SELECT life.*, e.close_ms AS due_ms, bottom, top, round(size_atr, 6) AS size_atr FROM life JOIN fg ON fg.exchange = life.exchange AND fg.symbol = life.symbol AND fg.k = life.k LEFT JOIN q e ON e.exchange = life.exchange AND e.symbol = life.symbol AND e.k = life.k + 100),
+  {sql.breaks(5, 5)}, pv AS ({sql.pivots(5, 5, 'high')} UNION ALL {sql.pivots(5, 5, 'low')}), ao AS (SELECT {AS_OF[-1]} AS t),
+  n AS (SELECT * FROM (
+    SELECT exchange, symbol, 'p' AS what, event_ms, 'SMC1|P|1h|internal|' || kind || '|' || event_ms AS key, to_json({{'key': 'SMC1|P|1h|internal|' || kind || '|' || event_ms, 'layer': 'internal', 'state': 'CONFIRMED', 'event_ms': event_ms, 'kind': kind, 'price': price, 'confirmed_ms': confirmed_ms}})::VARCHAR AS x FROM pv, ao WHERE confirmed_ms <= t
+    UNION ALL SELECT pv.exchange, pv.symbol, 'l', pv.event_ms, 'SMC1|P|1h|internal|' || kind || '|' || pv.event_ms, to_json({{'key': 'SMC1|P|1h|internal|' || kind || '|' || pv.event_ms, 'layer': 'internal', 'state': CASE WHEN be.confirmed_ms <= t THEN 'CONSUMED' ELSE 'ACTIVE' END, 'event_ms': pv.event_ms, 'kind': kind, 'price': price, 'confirmed_ms': pv.confirmed_ms, 'consumed_ms': CASE WHEN be.confirmed_ms <= t THEN be.confirmed_ms END}})::VARCHAR
+      FROM ao, pv LEFT JOIN be ON be.exchange = pv.exchange AND be.symbol = pv.symbol AND be.type IN ('BOS', 'CHOCH') AND (be.dir = 'up') = (kind = 'high') AND be.level_ms = pv.event_ms WHERE pv.confirmed_ms <= t
+    UNION ALL SELECT exchange, symbol, 'g', event_ms, 'SMC1|FVG|1h|' || direction || '|' || event_ms, to_json({{'key': 'SMC1|FVG|1h|' || direction || '|' || event_ms, 'layer': '', 'state': CASE WHEN invalidated_ms <= t THEN 'INVALIDATED' WHEN due_ms <= t THEN 'EXPIRED' WHEN filled_ms <= t THEN 'FILLED' WHEN half_ms <= t THEN 'CE' WHEN touched_ms <= t THEN 'TOUCHED' ELSE 'OPEN' END, 'event_ms': event_ms,
+      'direction': direction, 'bottom': bottom, 'top': top, 'size_atr': size_atr, 'confirmed_ms': confirmed_ms, {", ".join(f"'{c}': CASE WHEN {c} <= t THEN {c} END" for c in ("touched_ms", "half_ms", "filled_ms", "due_ms", "invalidated_ms"))}}})::VARCHAR FROM due, ao WHERE confirmed_ms <= t))
+  SELECT exchange, symbol, '{{"pivots":[' || coalesce(string_agg(x, ',' ORDER BY event_ms, key) FILTER (what = 'p'), '') || '],"events":[],"levels":[' || coalesce(string_agg(x, ',' ORDER BY event_ms, key) FILTER (what = 'l'), '')
+    || '],"liquidity":[],"ranges":[],"gaps":[' || coalesce(string_agg(x, ',' ORDER BY event_ms, key) FILTER (what = 'g'), '') || '],"blocks":[],"displacements":[]}}' AS document FROM n GROUP BY exchange, symbol""")
+def market_documents(s, d):
+    """A JSON document for each market with its pivots, levels and gaps as they were known at one time."""
+    rows = settled_rows(s, d)
+    pivots, events = settled(structure.both_pivots(rows, 5, 5)), structure.structure_events(rows, 5, 5)
+    lives = structure.gap_lives(rows, structure.gaps(rows), 100).withColumn("size_atr", F.round("size_atr", 6))
+    known = facts.pivot_versions(pivots, "internal").unionByName(facts.level_versions(structure.structure_levels(pivots, events), "internal")).unionByName(facts.gap_versions(lives))
+    return facts.documents(facts.as_of(known, AS_OF[-1:])).select("exchange", "symbol", "document")
+
+
 @query(f"WITH RECURSIVE {sql.HOURLY}, {sql.breaks(5, 5)} SELECT * REPLACE (round(level, 6) AS level, round(anchor_price, 6) AS anchor_price) FROM be")
 def structure_events_internal(s, d):
     return rounded(structure.structure_events(structure.horizon(hourly(s, d)), 5, 5))
