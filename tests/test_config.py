@@ -51,8 +51,7 @@ def test_configurations_reach_the_engines():
     assert config.trend_parameters(TREND) == decision.TREND
     got = config.structure_parameters(STRUCTURE)
     assert (got["swing"], got["internal"], got["weights"], got["minimum"], got["fresh"], got["band"]) == (scoring.SWING, scoring.INTERNAL, scoring.WEIGHTS, scoring.MINIMUM, scoring.FRESH, scoring.BAND)
-    with pytest.raises(ValueError):
-        config.structure_parameters(changed(STRUCTURE, ("swingLeft",), 5))
+    assert config.structure_parameters(changed(STRUCTURE, ("swingLeft",), 5))["swing"] == (5, scoring.SWING)
 
 
 def test_structure_config():

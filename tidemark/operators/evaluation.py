@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.indicators import PERIODS, SERIES, minimum_candles, with_indicators
 from tidemark.functions.timeframes import duration
 from tidemark.operators.reports import MARKET
-from tidemark.operators import decision, paging, scoring, structure, zones
+from tidemark.operators import decision, paging, predicates, scoring, structure, zones
 from tidemark.sources.tables import settled
 
 
@@ -39,18 +39,21 @@ def evaluate_custom(snapshots: DataFrame, candles: DataFrame, periods: dict = PE
     return out.select(*SERIES, F.col("at_ms").alias("open_ms"), "status", "reason", *kept)
 
 
-def structure_at_horizon(candles: DataFrame, timeframe: str, now_ms: int | Column, group: list[str], least: int = 2, swing: int = scoring.SWING, internal: int = scoring.INTERNAL, filtered: DataFrame | None = None) -> DataFrame:
-    """Structure verdict of each group of venues at their common horizon: (group, horizon, votes, usable).
+def filtered_markets(markets: DataFrame, top_only: bool, minimum_volume: float) -> DataFrame:
+    """(exchange, symbol, reason) of markets that a strategy's filters leave out. markets: with rank and quote_volume."""
+    return markets.select(*MARKET, predicates.filter_reason(top_only, minimum_volume).alias("reason")).where("reason is not null")
 
-    candles: one timeframe, with the group's columns, one market of a group at each venue. Every venue is evaluated on candles up to the horizon only; the
-    vote counts if the horizon is ok and every verdict rests on the horizon's candle. filtered (exchange, symbol): markets
-    that take no part in the horizon and are not evaluated, but count among the results as skipped."""
+
+def market_verdicts(candles: DataFrame, timeframe: str, now_ms: int | Column, group: list[str], swing, internal, filtered: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The horizon of each group, and a row for each of its markets: evaluated on candles up to the horizon only, or
+    filtered, which takes no part in the horizon."""
     members = candles.select(*dict.fromkeys([*group, *MARKET])).distinct()
     left_out = None
     if filtered is not None:
-        left_out = members.join(filtered.select(*MARKET), MARKET, "left_semi")
-        members = members.join(filtered.select(*MARKET), MARKET, "left_anti")
-        candles = candles.join(filtered.select(*MARKET), MARKET, "left_anti")
+        filtered = settled(filtered.select(*MARKET, F.col("reason") if "reason" in filtered.columns else F.lit(None).cast("string").alias("reason")))
+        left_out = members.join(filtered, MARKET)
+        members = members.join(filtered, MARKET, "left_anti")
+        candles = candles.join(filtered, MARKET, "left_anti")
     horizon = decision.common_horizon(members.select(*group, "exchange").distinct(), candles, timeframe, now_ms, group, "exchange")
     horizon = settled(horizon)
     usable = horizon.where("status = 'ok'").select(*group, F.col("common_ms").alias("at_ms"))
@@ -58,10 +61,23 @@ def structure_at_horizon(candles: DataFrame, timeframe: str, now_ms: int | Colum
     rows = settled(structure.prepared(upto.select(*candles.columns)))
     verdicts = scoring.score_series(rows, swing, internal)
     seen = rows.groupBy(*SERIES).agg(F.max("open_ms").alias("open_ms"))
-    results = verdicts.join(seen, SERIES).join(members, MARKET).select(*group, "open_ms", "status", "direction", "long_score", "short_score")
+    own = dict.fromkeys([*group, *MARKET])
+    none = F.lit(None).cast("string")
+    results = verdicts.join(seen, SERIES).join(members, MARKET).select(*own, "open_ms", "status", "direction", "long_score", "short_score", F.when(F.col("status") != "evaluated", F.col("status")).alias("reason"))
     if left_out is not None:
-        none = {c: F.lit(None).cast(t) for c, t in results.dtypes if c not in group}
-        results = results.unionByName(left_out.select(*group).withColumns(none | {"status": F.lit("filtered")}))
+        empty = {c: F.lit(None).cast(t) for c, t in results.dtypes if c not in own and c != "reason"}
+        results = results.unionByName(left_out.select(*own, "reason").withColumns(empty | {"status": F.lit("filtered")}))
+    return horizon, settled(results.withColumn("reason", F.coalesce("reason", none)))
+
+
+def structure_at_horizon(candles: DataFrame, timeframe: str, now_ms: int | Column, group: list[str], least: int = 2, swing: int | tuple[int, int] = scoring.SWING, internal: int | tuple[int, int] = scoring.INTERNAL, filtered: DataFrame | None = None) -> DataFrame:
+    """Structure verdict of each group of venues at their common horizon: (group, horizon, votes, usable).
+
+    candles: one timeframe, with the group's columns, one market of a group at each venue. Every venue is evaluated on candles up to the horizon only; the
+    vote counts if the horizon is ok and every verdict rests on the horizon's candle. filtered (exchange, symbol and, if
+    known, the reason; see filtered_markets): markets that take no part in the horizon and are not evaluated, but count among
+    the results as skipped."""
+    horizon, results = market_verdicts(candles, timeframe, now_ms, group, swing, internal, filtered)
     votes = decision.vote(results, group, least)
     aligned = decision.alignment(results, group, timeframe).select(*group, "safe")
     out = horizon.join(votes, group, "left").join(aligned, group, "left")
@@ -69,6 +85,25 @@ def structure_at_horizon(candles: DataFrame, timeframe: str, now_ms: int | Colum
     return out.select(*group, F.col("status").alias("horizon_status"), "common_ms", "relative_lag", "absolute_lag", "evaluated", "skipped", "long_votes", "short_votes", "neutral_votes", ok.alias("usable"), F.when(ok, F.col("direction")).alias("direction"), F.when(ok, F.col("confirmation")).alias("confirmation"))
 
 
+def aggregate_summary(candles: DataFrame, timeframe: str, now_ms: int | Column, group: list[str], least: int = 2, swing: int | tuple[int, int] = scoring.SWING, internal: int | tuple[int, int] = scoring.INTERNAL, filtered: DataFrame | None = None) -> DataFrame:
+    """What structure_at_horizon says of each group, with its participants: how many were evaluated, could not be, or were
+    filtered, why the vote does not count, and per_exchange, a row a market in order of venues. Votes and direction are
+    there only where the vote counts."""
+    horizon, results = market_verdicts(candles, timeframe, now_ms, group, swing, internal, filtered)
+    votes, aligned = decision.vote(results, group, least), decision.alignment(results, group, timeframe).select(*group, "safe", "off_grid", "times")
+    n = lambda test: F.count_if(test)
+    good, left = F.col("status") == "evaluated", F.col("status") == "filtered"
+    shown = F.struct("exchange", "symbol", F.when(good | left, F.col("status")).otherwise("cannot-evaluate").alias("status"), "reason", "direction", "long_score", "short_score", F.when(good, F.col("open_ms")).alias("horizon_ms"))
+    parts = results.groupBy(*group).agg(n(left).alias("filtered_count"), n(~good & ~left).alias("cannot_evaluate_count"), F.array_sort(F.collect_list(shown)).alias("per_exchange"))  # a venue each
+    out = horizon.join(votes.drop("skipped"), group, "left").join(aligned, group, "left").join(parts, group, "left")
+    fine = F.col("status") == "ok"
+    refusals = F.when(~fine, F.array("status")).otherwise(F.array_compact(F.array(F.when(F.coalesce("evaluated", F.lit(0)) == 0, "nothing_evaluated"), F.when(F.col("off_grid") > 0, "off_grid"), F.when(F.col("times") > 1, "different_candles"))))
+    allowed = fine & F.coalesce("safe", F.lit(False))
+    counted = [F.when(allowed, F.col(c)).alias(c) for c in ("direction", "conflict", "long_votes", "short_votes", "neutral_votes", "confirmation")]
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(*group, fine.alias("usable"), F.col("status").alias("horizon_status"), F.col("common_ms").alias("horizon_ms"), "newest_ms", "relative_lag", "absolute_lag", F.col("participants").alias("participant_count"), zero("filtered_count"), F.coalesce("evaluated", F.lit(0)).alias("evaluated_count"), zero("cannot_evaluate_count"), *counted, F.lit(least).alias("least"), allowed.alias("gate_allowed"), refusals.alias("refusals"), "per_exchange")
+
+
 def overlay(rows: DataFrame, swing: int = scoring.SWING, internal: int = scoring.INTERNAL) -> DataFrame:
     """All facts of the series that are known at their last candle, in one form, for drawing. rows: prepared."""
     rows = settled(rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Base symbols that are not traded against.
@@ -66,6 +67,31 @@ def series_validity(candles: DataFrame) -> DataFrame:
     return candles.groupBy(*SERIES).agg(F.count("*").alias("n"), F.count_if(tolerant_candle()).alias("sound"), (F.count("*") - F.count_distinct("open_ms")).alias("repeated"))
 
 
+def series_refusals(rows: DataFrame, position: str = "position", tolerance: float = 1e-9) -> DataFrame:
+    """(series, position, reason) of the first row of each series, in the order of `position`, that a strict reader refuses:
+    unknown timeframe, no time, not closed, a number that is none, a high or low that does not hold, the time of the row before again, or
+    an earlier one. A row a refused series; none if all may be evaluated."""
+    from tidemark.functions.indicators import SERIES
+    from tidemark.functions.timeframes import DURATION_MS
+
+    before = F.lag("open_ms").over(W.partitionBy(*SERIES).orderBy(position))
+    holds = (F.col("high") >= F.greatest("open", "close") - tolerance) & (F.col("low") <= F.least("open", "close") + tolerance) & (F.col("high") >= F.col("low") - tolerance)
+    reason = (
+        F.when(~F.coalesce(F.col("timeframe").isin(*DURATION_MS), F.lit(False)), "timeframe").when(F.col("open_ms").isNull(), "time").when(~F.coalesce("closed", F.lit(False)), "open")
+        .when(~finite("open", "high", "low", "close"), "number").when(~holds, "prices").when(F.col("open_ms") == before, "repeated").when(F.col("open_ms") < before, "order")
+    )
+    found = rows.withColumn("reason", reason).where("reason is not null")
+    return found.groupBy(*SERIES).agg(F.min(F.struct(F.col(position).alias("position"), "reason")).alias("first")).select(*SERIES, "first.*")
+
+
+def checked_series(rows: DataFrame, position: str = "position") -> DataFrame:
+    """rows, if no series is refused."""
+    first = series_refusals(rows, position).first()
+    if first:
+        raise ValueError(f"{first.exchange} {first.symbol} {first.timeframe}: row {first.position}: {first.reason}")
+    return rows
+
+
 def allowed_base(base: Column) -> Column:
     """2 to 20 capital letters or digits, and not an excluded one."""
     return ~base.isin(*EXCLUDED_BASES) & base.rlike("^[A-Z0-9]{2,20}$")

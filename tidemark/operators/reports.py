@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,6 +119,22 @@ def markets_by_exchange(markets: DataFrame) -> DataFrame:
     return markets.groupBy("exchange").agg(F.count("*").alias("total"), F.count_if(active_market()).alias("active"))
 
 
+def overview(strategies: DataFrame, assets: DataFrame, markets: DataFrame, candles: DataFrame, signals: DataFrame, top: int = 100) -> DataFrame:
+    """The eight figures of the first page, a row each in their order: strategies, assets of the universe, active markets of its
+    assets and of all, candles, active signals, venues with an active market, and the last closed hourly candle (null
+    if there is none). markets: base is the asset's symbol."""
+    chosen = assets.where(F.col("rank").between(1, top))
+    active = markets.where(active_market())
+    one = lambda n, name, rows, value=F.count("*"): rows.agg(value.cast("long").alias("value")).select(F.lit(n).alias("place"), F.lit(name).alias("figure"), "value")
+    figures = [
+        one(1, "strategies", strategies), one(2, "assets in the universe", chosen.where("enabled")),
+        one(3, "markets in the universe", active.join(chosen.select(F.col("symbol").alias("base")), "base", "left_semi")), one(4, "active markets", active), one(5, "candles", candles),
+        one(6, "active signals", signals.where("status = 'ACTIVE'")), one(7, "exchanges", active, F.count_distinct("exchange")),
+        one(8, "last closed hour", candles.where("timeframe = '1h'"), F.max(when_closed("open_ms"))),
+    ]
+    return reduce(DataFrame.unionByName, figures)
+
+
 def asset_counts(assets: DataFrame, top: int = 100) -> DataFrame:
     """All, enabled, in the universe, in the top 500 and ranked, in one pass."""
     return assets.agg(F.count("*").alias("total"), F.count_if("enabled").alias("enabled"), F.count_if(F.col("rank").between(1, top)).alias("universe"), F.count_if("top500").alias("top500"), F.count("rank").alias("ranked"))

@@ -17,8 +17,14 @@ MINIMUM, SWING, INTERNAL, BAND = 72, 20, 3, 0.02
 CODES = {"swing": "SWING_TREND", "bos": "RECENT_SWING_BOS", "internal": "INTERNAL_TREND", "sweep": "LIQUIDITY_SWEEP", "swing_block": "SWING_ORDER_BLOCK", "internal_block": "INTERNAL_ORDER_BLOCK", "gap": "FVG", "range": "RANGE_POSITION", "overlap": "OB_FVG_CONFLUENCE"}
 
 
-def minimum_history(swing: int = SWING) -> int:
-    return 4 * (swing + 1)
+def reach(layer: int | tuple[int, int]) -> tuple[int, int]:
+    """Candles to the left and right of a layer's pivots; one number stands for both."""
+    return (layer, layer) if isinstance(layer, int) else (layer[0], layer[1])
+
+
+def minimum_history(swing: int | tuple[int, int] = SWING) -> int:
+    """Four legs of the wider side of a swing."""
+    return 4 * (max(reach(swing)) + 1)
 
 
 def phase(events: DataFrame, name: str) -> DataFrame:
@@ -38,7 +44,7 @@ def latest(facts: DataFrame, at: str, fresh: int, last: DataFrame, fields: list[
     return aged.groupBy(*SERIES).agg(F.max_by(F.struct(*fields), F.struct(at, "event_ms")).alias(name))
 
 
-def score_series(rows: DataFrame, swing: int = SWING, internal: int = INTERNAL, weights: dict = WEIGHTS, minimum: int = MINIMUM, fresh: dict = FRESH, band: float = BAND) -> DataFrame:
+def score_series(rows: DataFrame, swing: int | tuple[int, int] = SWING, internal: int | tuple[int, int] = INTERNAL, weights: dict = WEIGHTS, minimum: int = MINIMUM, fresh: dict = FRESH, band: float = BAND) -> DataFrame:
     """rows: structure.prepared. A series that cannot be evaluated has a status and no scores, which is not NEUTRAL.
     soft_codes say what an evaluated one lacks.
 
@@ -46,11 +52,11 @@ def score_series(rows: DataFrame, swing: int = SWING, internal: int = INTERNAL,
     rows = settled(rows)
     closes = F.array_sort(F.collect_list(F.struct("close_ms", "i")))  # the cut of a series at most
     last = rows.groupBy(*SERIES).agg(F.count("*").alias("bars"), F.max("i").alias("last_i"), F.max_by("close", "i").alias("price"), F.max_by("atr14", "i").alias("atr"), closes.alias("closes"))
-    pivots = structure.both_pivots(rows, swing, swing)
+    pivots = structure.both_pivots(rows, *reach(swing))
     have = pivots.groupBy(*SERIES).agg(F.count_if(F.col("kind") == "high").alias("highs"), F.count_if(F.col("kind") == "low").alias("lows"))
-    swing_events, inner_events = (settled(structure.structure_events(rows, n, n)) for n in (swing, internal))
+    swing_events, inner_events = (settled(structure.structure_events(rows, *reach(n))) for n in (swing, internal))
     gaps = settled(structure.gaps(rows))
-    levels, inner_levels = (settled(zones.liquidity_levels(rows, n, n, age=0)) for n in (swing, internal))
+    levels, inner_levels = (settled(zones.liquidity_levels(rows, *reach(n), age=0)) for n in (swing, internal))
     lives = structure.gap_lives(rows, gaps, 0).where("state in ('OPEN', 'TOUCHED', 'CE')")
     active = "state in ('OPEN', 'MITIGATED')"
     blocks = settled(zones.order_blocks(rows, swing_events, gaps, levels).where(active))

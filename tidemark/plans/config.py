@@ -122,14 +122,13 @@ def trend_parameters(config: dict) -> dict:
 
 
 def structure_parameters(config: dict) -> dict:
-    """What scoring.score_series takes of one timeframe of a checked structure configuration, if its pivots look as far
-    back as ahead."""
-    if config["swingLeft"] != config["swingRight"] or config["internalLeft"] != config["internalRight"]:
-        raise ValueError("pivots that look further back than ahead are not scored")
+    """What scoring.score_series takes of one timeframe of a checked structure configuration. A layer is one number where
+    its pivots look as far back as ahead, else two."""
+    layer = lambda n: config[f"{n}Left"] if config[f"{n}Left"] == config[f"{n}Right"] else (config[f"{n}Left"], config[f"{n}Right"])
     w = config["weights"]
     names = {"swing": "swingStructureBias", "bos": "recentSwingBos", "internal": "internalStructure", "sweep": "liquiditySweep", "swing_block": "swingOrderBlock", "internal_block": "internalOrderBlock", "gap": "fvg", "range": "rangePosition", "overlap": "confluence"}
     fresh = {"bos": config["structureEventFreshBars"], "sweep": config["sweepFreshBars"], "block": config["orderBlockFreshBars"], "gap": config["fvgFreshBars"]}
-    return {"swing": config["swingLeft"], "internal": config["internalLeft"], "weights": {k: w[n] for k, n in names.items()}, "minimum": config["minimumSignalScore"], "fresh": fresh, "band": config["eqBand"]}
+    return {"swing": layer("swing"), "internal": layer("internal"), "weights": {k: w[n] for k, n in names.items()}, "minimum": config["minimumSignalScore"], "fresh": fresh, "band": config["eqBand"]}
 
 
 def standard_periods(config: dict) -> bool:

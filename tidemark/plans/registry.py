@@ -278,6 +278,31 @@ def series_validity(s, d):
     return predicates.series_validity(every(s, d))
 
 
+@query(WITH_ALL + """, o AS (SELECT *, row_number() OVER (PARTITION BY exchange, symbol, timeframe ORDER BY CASE WHEN timeframe = '1d' THEN -open_ms ELSE open_ms END, dup) - 1 AS position
+    FROM (SELECT *, 0 AS dup FROM c WHERE timeframe <> '1h' OR closed UNION ALL SELECT *, 1 FROM c WHERE timeframe = '1h' AND closed AND (open_ms // 3600000) % 50 = 0)),
+  b AS (SELECT *, lag(open_ms) OVER (PARTITION BY exchange, symbol, timeframe ORDER BY position) AS p FROM o),
+  r AS (SELECT *, CASE WHEN NOT closed THEN 'open' WHEN high < greatest(open, close) - 1e-9 OR low > least(open, close) + 1e-9 THEN 'prices' WHEN open_ms = p THEN 'repeated' WHEN open_ms < p THEN 'order' END AS reason FROM b)
+  SELECT exchange, symbol, timeframe, min(position) AS position, arg_min(reason, position) AS reason FROM r WHERE reason IS NOT NULL GROUP BY ALL""")
+def series_refusals(s, d):
+    """Daily candles come newest first, some hourly ones twice, the open candle is among all but the hourly ones."""
+    c = every(s, d)
+    hours = c.where("timeframe = '1h' and closed")
+    rows = c.where("timeframe <> '1h'").unionByName(hours).withColumn("dup", F.lit(0)).unionByName(hours.where((F.floor(F.col("open_ms") / H) % 50) == 0).withColumn("dup", F.lit(1)))
+    order = W.partitionBy(*ind.SERIES).orderBy(F.when(F.col("timeframe") == "1d", -F.col("open_ms")).otherwise(F.col("open_ms")), "dup")
+    return predicates.series_refusals(rows.withColumn("position", (F.row_number().over(order) - 1).cast("long")))
+
+
+@query(f"""WITH {sql.ALL}, {sql.MARKETS}, {sql.ASSETS} SELECT * FROM (VALUES (1, 'strategies', (SELECT count(*) FROM part)), (2, 'assets in the universe', (SELECT count(*) FROM a WHERE rank <= 10 AND markets > 3)),
+  (3, 'markets in the universe', (SELECT count(*) FROM m WHERE {sql.ACTIVE} AND base IN (SELECT symbol FROM a WHERE rank <= 10))), (4, 'active markets', (SELECT count(*) FROM m WHERE {sql.ACTIVE})), (5, 'candles', (SELECT count(*) FROM c)),
+  (6, 'active signals', (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 300000)), (7, 'exchanges', (SELECT count(DISTINCT exchange) FROM m WHERE {sql.ACTIVE})), (8, 'last closed hour', (SELECT max(open_ms) FROM c WHERE timeframe = '1h' AND closed))) t(place, figure, value)""")
+def admin_overview(s, d):
+    """Orders stand for signals: large open ones are active."""
+    m = markets(s, d)
+    assets = reports.ranked_assets(m).withColumn("enabled", F.col("markets") > 3)
+    signals = bridge.read(s, d, "orders").select(F.when((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 300_000), "ACTIVE").otherwise("CLOSED").alias("status"))
+    return reports.overview(strategies(s, d), assets, m, every(s, d), signals, 10)
+
+
 STRATEGIES = "(SELECT p_type AS slug, p_size AS version, p_partkey % 2 = 0 AS enabled, CASE WHEN p_partkey % 3 = 0 THEN 'PUBLISHED' ELSE 'DRAFT' END AS status, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS market_cap, p_partkey AS id FROM part)"
 
 
