@@ -242,3 +242,22 @@ def test_scores(series):
     assert got == want
     if name == "made":
         assert {w[3] for w in want.values()} >= {"LONG", "SHORT", "NEUTRAL"}
+
+
+def test_reasons_name_facts(series):
+    """Blocks and gaps behind a reason are facts by their keys; other reasons name none."""
+    from tidemark.operators import facts
+
+    name, rows = series
+    if name == "tables":
+        pytest.skip("no series is fresh enough")
+    scores = settled(scoring.score_series(rows, 5, 2))
+    why = scoring.reasons(scores).collect()
+    keys = {r.key for r in facts.all_versions(rows, 5, 2).select("key").distinct().collect()}
+    named = [r for r in why if r.fact_ids]
+    assert {r.code for r in named} == {"SWING_ORDER_BLOCK", "INTERNAL_ORDER_BLOCK", "FVG"} and all(k in keys for r in named for k in r.fact_ids)
+    assert all(r.value.startswith(r.fact_ids[0] + " (") for r in named)
+    one = scores.where("status = 'evaluated'").limit(1).collect()[0]
+    both = rows.sparkSession.createDataFrame([one], scores.schema).selectExpr("* except (conflict)", "true as conflict")
+    last = scoring.reasons(both).collect()[-1]
+    assert (last.code, last.long, last.short, last.weight, last.value) == ("DIRECTION_CONFLICT", False, False, 0.0, f"long={one.long_score};short={one.short_score} (0/0)")

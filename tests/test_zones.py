@@ -87,7 +87,7 @@ def test_scores_are_sums_and_mirror(spark, wave):
     assert set(a.soft_codes) <= {"STRUCTURE_UNDEFINED", "STRUCTURE_TRANSITION", "NO_RECENT_LIQUIDITY_SWEEP", "NO_SWING_ORDER_BLOCK", "NO_INTERNAL_ORDER_BLOCK", "NO_ACTIVE_FVG", "NO_ACTIVE_DEALING_RANGE"} and set(a.soft_codes) == set(b.soft_codes)
     assert ("NO_SWING_ORDER_BLOCK" in a.soft_codes) <= (a.long_parts.swing_block == a.short_parts.swing_block == 0)
     why = scoring.reasons(spark.createDataFrame([a], a_schema)).collect()
-    assert [r.label for r in why[:9]] == [f"[{c}]" for c in scoring.CODES.values()] and sum(r.weight for r in why if r.long) == a.long_score and sum(r.weight for r in why if r.short) == a.short_score
+    assert [r.code for r in why[:9]] == list(scoring.CODES.values()) and all(r.label.startswith(f"[{r.code}] ") and r.value.endswith(f"{p}/{q})" if "(" in r.value else f"{p}/{q}") for r, p, q in zip(why, a.long_parts, a.short_parts)) and sum(r.weight for r in why if r.long) == a.long_score and sum(r.weight for r in why if r.short) == a.short_score
     assert sum(scoring.WEIGHTS.values()) == 100 and a.long_score + a.short_score <= 100
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import SERIES
 from tidemark.functions.timeframes import duration
-from tidemark.operators import scoring, structure, zones
+from tidemark.operators import structure, zones
 from tidemark.sources.tables import settled
 
 # The prefix of keys, and the codes of reasons whose value is the key of the fact behind them.
@@ -57,9 +57,19 @@ def level_versions(levels: DataFrame, layer: str) -> DataFrame:
     return versions(levels, "level", layer, key_of("P", F.lit(layer), "kind", "event_ms"), "confirmed_ms", [("consumed_ms", "CONSUMED")], ["kind", "price", "confirmed_ms"], "ACTIVE")
 
 
-def event_key(layer: str) -> Column:
+def event_key(layer: str, kind: Column | None = None) -> Column:
+    """Of rows with dir, level_ms and event_ms; kind: their type, where they have no such column."""
     side = F.when(F.col("dir") == "up", "high").otherwise("low")
-    return key_of("E", F.lit(layer), "type", "dir", key_of("P", F.lit(layer), side, "level_ms"), "event_ms")
+    return key_of("E", F.lit(layer), F.col("type") if kind is None else kind, "dir", key_of("P", F.lit(layer), side, "level_ms"), "event_ms")
+
+
+def block_key(layer: str) -> Column:
+    """By the break that confirmed it and the first candle of its zone."""
+    return key_of("OB", "dir", F.lit(layer), event_key(layer, F.lit("BOS")), "origin_ms")
+
+
+def gap_key() -> Column:
+    return key_of("FVG", "direction", "event_ms")
 
 
 def event_versions(events: DataFrame, layer: str) -> DataFrame:
@@ -70,24 +80,23 @@ def event_versions(events: DataFrame, layer: str) -> DataFrame:
 def gap_versions(lives: DataFrame) -> DataFrame:
     """lives: structure.gap_lives. An expiry shows until a close beyond the gap, which undoes it."""
     steps = [("touched_ms", "TOUCHED"), ("half_ms", "CE"), ("filled_ms", "FILLED"), ("due_ms", "EXPIRED"), ("invalidated_ms", "INVALIDATED")]
-    return versions(lives, "gap", "", key_of("FVG", "direction", "event_ms"), "confirmed_ms", steps, ["direction", "bottom", "top", "size_atr", "confirmed_ms"], "OPEN")
+    return versions(lives, "gap", "", gap_key(), "confirmed_ms", steps, ["direction", "bottom", "top", "size_atr", "confirmed_ms"], "OPEN")
 
 
 def liquidity_versions(levels: DataFrame) -> DataFrame:
     origin = F.when(F.col("origin") == "EQUAL", "EQH_EQL").otherwise(F.col("origin"))
     ends = levels.withColumns({f"{s.lower()}_ms": F.when(F.col("state") == s, F.col("resolved_ms")) for s in ("SWEPT", "BROKEN", "EXPIRED")}).drop("state")
     steps = [("swept_ms", "SWEPT"), ("broken_ms", "BROKEN"), ("expired_ms", "EXPIRED")]
-    return versions(ends, "liquidity", "swing", key_of("LQ", "side", origin, "event_ms"), "created_ms", steps, ["side", "origin", "price", "created_ms"], "OPEN")
+    return versions(ends, "liquidity", "swing", key_of("LQ", "side", origin, "trigger_ms"), "created_ms", steps, ["side", "origin", "price", "created_ms"], "OPEN")
 
 
 def range_versions(ranges: DataFrame) -> DataFrame:
-    rows = ranges.withColumn("event_ms", F.col("opened_ms"))
-    return versions(rows, "range", "swing", key_of("RANGE", "dir", "opened_ms"), "opened_ms", [("closed_ms", "CLOSED")], ["dir", "low", "high", "opened_ms"], "OPEN")
+    return versions(ranges, "range", "swing", key_of("RANGE", "dir", event_key("swing", F.lit("BOS"))), "opened_ms", [("closed_ms", "CLOSED")], ["dir", "low", "high", "opened_ms"], "OPEN")
 
 
 def block_versions(blocks: DataFrame, layer: str) -> DataFrame:
     steps = [("touched_ms", "MITIGATED"), ("expired_ms", "EXPIRED"), ("invalidated_ms", "INVALIDATED")]
-    return versions(blocks, "block", layer, key_of("OB", "dir", F.lit(layer), "event_ms"), "confirmed_ms", steps, ["dir", "bottom", "top", "confirmed_ms", "early_touches", "has_gap", "has_sweep"], "OPEN")
+    return versions(blocks, "block", layer, block_key(layer), "confirmed_ms", steps, ["dir", "bottom", "top", "confirmed_ms", "early_touches", "has_gap", "has_sweep"], "OPEN")
 
 
 def displacement_versions(found: DataFrame) -> DataFrame:
@@ -95,7 +104,7 @@ def displacement_versions(found: DataFrame) -> DataFrame:
     return versions(rows, "displacement", "", key_of("D", "direction", "event_ms"), "confirmed_ms", [], ["direction", "body_atr", "range_atr", "close_location", "confirmed_ms"])
 
 
-def all_versions(rows: DataFrame, swing: int = scoring.SWING, internal: int = scoring.INTERNAL) -> DataFrame:
+def all_versions(rows: DataFrame, swing: int = 20, internal: int = 3) -> DataFrame:
     """Every fact of the series, in both layers. rows: prepared and settled."""
     gaps = settled(structure.gaps(rows))
     out = [gap_versions(structure.gap_lives(rows, gaps)), displacement_versions(structure.displacements(rows))]

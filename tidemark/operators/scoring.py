@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import SERIES
+from tidemark.operators import facts as known
 from tidemark.operators import structure, zones
 from tidemark.sources.tables import settled
 
@@ -16,6 +17,20 @@ MINIMUM, SWING, INTERNAL, BAND = 72, 20, 3, 0.02
 # Codes of the components' reasons.
 CODES = {"swing": "SWING_TREND", "bos": "RECENT_SWING_BOS", "internal": "INTERNAL_TREND", "sweep": "LIQUIDITY_SWEEP", "swing_block": "SWING_ORDER_BLOCK", "internal_block": "INTERNAL_ORDER_BLOCK", "gap": "FVG", "range": "RANGE_POSITION", "overlap": "OB_FVG_CONFLUENCE"}
 
+# What reasons say, by code: for the long side, for the short side, otherwise, and what a reader adds in some cases.
+LABELS = {
+    "swing": ("Установленная swing-структура: восходящий тренд", "Установленная swing-структура: нисходящий тренд", "Swing-структура не определена", "Swing-структура в переходе (reversal pending)"),
+    "bos": ("Свежий swing BOS подтверждает направление", "Свежий swing BOS подтверждает направление", "Свежего swing BOS по текущей фазе нет"),
+    "internal": ("Установленная internal-структура: восходящий тренд", "Установленная internal-структура: нисходящий тренд", "Internal-структура не установлена"),
+    "sweep": ("Свежий sweep ликвидности", "Свежий sweep ликвидности", "Свежего resolved SWEPT нет"),
+    "swing_block": ("Свежий активный bullish swing order block", "Свежий активный bearish swing order block", "Свежего активного swing order block нет"),
+    "internal_block": ("Свежий активный bullish internal order block", "Свежий активный bearish internal order block", "Свежего активного internal order block нет"),
+    "gap": ("Свежий активный bullish FVG", "Свежий активный bearish FVG", "Свежего активного FVG нет"),
+    "range": ("Цена в discount активного диапазона", "Цена в premium активного диапазона", "Цена в equilibrium активного диапазона", "Активный dealing range отсутствует"),
+    "overlap": ("Confluence: bullish OB и FVG перекрываются", "Confluence: bearish OB и FVG перекрываются", "OB+FVG confluence отсутствует"),
+    "conflict": ("Обе стороны достигли порога — конфликт, направления нет",),
+}
+
 
 def reach(layer: int | tuple[int, int]) -> tuple[int, int]:
     """Candles to the left and right of a layer's pivots; one number stands for both."""
@@ -62,17 +77,17 @@ def score_series(rows: DataFrame, swing: int | tuple[int, int] = SWING, internal
     blocks = settled(zones.order_blocks(rows, swing_events, gaps, levels).where(active))
     inner_blocks = settled(zones.order_blocks(rows, inner_events, gaps, inner_levels).where(active))
     ranges = structure.dealing_ranges(swing_events).where("closed_ms is null").select(*SERIES, "low", "high")
-    zone = ["dir", "bottom", "top"]
+    zone = ["dir", "bottom", "top", "key"]
     out = last.join(have, SERIES, "left").join(phase(swing_events, "swing_phase"), SERIES, "left").join(phase(inner_events, "internal_phase"), SERIES, "left").join(ranges, SERIES, "left")
     bos = swing_events.where("type = 'BOS'").select(*SERIES, "dir", "event_ms", "confirmed_ms")
     broken = swing_events.unionByName(inner_events).where("type = 'AMBIGUOUS'").select(*SERIES).distinct().withColumn("ambiguous", F.lit(True))
     out = out.join(broken, SERIES, "left")
     for facts, at, bars, fields, name in (
         (bos, "confirmed_ms", fresh["bos"], ["dir"], "bos"),
-        (levels.where("state = 'SWEPT'"), "resolved_ms", fresh["sweep"], ["side"], "sweep"),
-        (blocks, "confirmed_ms", fresh["block"], zone, "swing_block"),
-        (inner_blocks, "confirmed_ms", fresh["block"], zone, "internal_block"),
-        (lives.withColumnRenamed("direction", "dir"), "confirmed_ms", fresh["gap"], zone, "gap"),
+        (levels.where("state = 'SWEPT'"), "resolved_ms", fresh["sweep"], ["side", "resolved_ms"], "sweep"),
+        (blocks.withColumn("key", known.block_key("swing")), "confirmed_ms", fresh["block"], zone, "swing_block"),
+        (inner_blocks.withColumn("key", known.block_key("internal")), "confirmed_ms", fresh["block"], zone, "internal_block"),
+        (lives.withColumn("key", known.gap_key()).withColumnRenamed("direction", "dir"), "confirmed_ms", fresh["gap"], zone, "gap"),
     ):
         out = out.join(latest(facts, at, bars, last, fields, name), SERIES, "left")
     position = (F.col("price") - F.col("low")) / (F.col("high") - F.col("low"))
@@ -108,13 +123,36 @@ def score_series(rows: DataFrame, swing: int | tuple[int, int] = SWING, internal
     missing = {"STRUCTURE_UNDEFINED": ~phase_known, "STRUCTURE_TRANSITION": F.col("swing_phase").startswith("REVERSAL"), "NO_RECENT_LIQUIDITY_SWEEP": F.col("sweep").isNull(), "NO_SWING_ORDER_BLOCK": F.col("swing_block").isNull(), "NO_INTERNAL_ORDER_BLOCK": F.col("internal_block").isNull(), "NO_ACTIVE_FVG": F.col("gap").isNull(), "NO_ACTIVE_DEALING_RANGE": F.col("low").isNull()}
     codes = F.array_compact(F.array(*[F.when(test, code) for code, test in missing.items()]))
     out = out.withColumn("soft_codes", F.when(F.col("status") == "evaluated", codes))
-    return out.select(*SERIES, "bars", "status", "swing_phase", "internal_phase", "long_score", "short_score", "long_parts", "short_parts", direction.alias("direction"), F.coalesce(up & down, F.lit(False)).alias("conflict"), "soft_codes")
+    time = F.date_format(F.timestamp_millis("sweep.resolved_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    undefined = lambda c: F.coalesce(c, F.lit("UNDEFINED"))
+    evidence = {
+        "swing": undefined("swing_phase"), "bos": F.concat(F.lit("BOS:"), F.col("bos.dir")), "internal": undefined("internal_phase"), "sweep": F.concat(F.col("sweep.side"), F.lit(" @"), time),
+        "swing_block": F.col("swing_block.key"), "internal_block": F.col("internal_block.key"), "gap": F.col("gap.key"), "range": F.when(position.isNotNull(), F.format_string("pos=%.6f", position)), "overlap": F.lit(None).cast("string"),
+    }
+    out = out.withColumn("evidence", F.when(F.col("status") == "evaluated", F.struct(*[v.alias(k) for k, v in evidence.items()])))
+    return out.select(*SERIES, "bars", "status", "swing_phase", "internal_phase", "long_score", "short_score", "long_parts", "short_parts", direction.alias("direction"), F.coalesce(up & down, F.lit(False)).alias("conflict"), "soft_codes", "evidence")
 
 
 def reasons(scores: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
-    """A row for each component of each scored series: its label, which sides have its points, and its weight."""
-    entry = lambda k, w: F.struct(F.lit(f"[{CODES[k]}]").alias("label"), (F.col(f"long_parts.{k}") > 0).alias("long"), (F.col(f"short_parts.{k}") > 0).alias("short"), F.lit(w).cast("double").alias("weight"), F.concat(F.col(f"long_parts.{k}").cast("string"), F.lit("/"), F.col(f"short_parts.{k}").cast("string")).alias("value"))
+    """A row for each component of each scored series: its code and label, which sides have its points, its weight, the
+    evidence with the points, and the keys of the facts behind it. A conflict of both sides is one more, without points."""
+    points = lambda k: F.concat(F.col(f"long_parts.{k}").cast("string"), F.lit("/"), F.col(f"short_parts.{k}").cast("string"))
+
+    def entry(k: str, w: int) -> Column:
+        up, down, seen = F.col(f"long_parts.{k}") > 0, F.col(f"short_parts.{k}") > 0, F.col(f"evidence.{k}")
+        long, short, none, *other = LABELS[k]
+        rest = F.lit(none)
+        if k == "swing":
+            rest = F.when(seen.startswith("REVERSAL"), other[0]).otherwise(none)
+        elif k == "range":
+            rest = F.when(seen.isNull(), other[0]).otherwise(none)
+        label = F.concat(F.lit(f"[{CODES[k]}] "), F.when(up, long).when(down, short).otherwise(rest))
+        value = F.when(seen.isNull(), points(k)).otherwise(F.concat(seen, F.lit(" ("), points(k), F.lit(")")))
+        return F.struct(F.lit(CODES[k]).alias("code"), label.alias("label"), up.alias("long"), down.alias("short"), F.lit(w).cast("double").alias("weight"), value.alias("value"), known.fact_ids(F.lit(CODES[k]), seen).alias("fact_ids"))
+
     listed = F.array(*[entry(k, w) for k, w in weights.items()])
-    conflict = F.when(F.col("conflict"), F.array(F.struct(F.lit("[DIRECTION_CONFLICT]").alias("label"), F.lit(True).alias("long"), F.lit(True).alias("short"), F.lit(0.0).alias("weight"), F.lit(None).cast("string").alias("value"))))
-    every = F.concat(listed, F.coalesce(conflict, F.filter(listed, lambda x: F.lit(False))))
+    both = F.concat(F.lit("long="), F.col("long_score").cast("string"), F.lit(";short="), F.col("short_score").cast("string"), F.lit(" (0/0)"))
+    no = F.lit(False)
+    conflict = F.struct(F.lit("DIRECTION_CONFLICT").alias("code"), F.lit(f"[DIRECTION_CONFLICT] {LABELS['conflict'][0]}").alias("label"), no.alias("long"), no.alias("short"), F.lit(0.0).alias("weight"), both.alias("value"), F.array().cast("array<string>").alias("fact_ids"))
+    every = F.when(F.col("conflict"), F.concat(listed, F.array(conflict))).otherwise(listed)
     return scores.where("status = 'evaluated'").select(*SERIES, F.explode(every).alias("r")).select(*SERIES, "r.*")

@@ -210,7 +210,7 @@ def dealing_ranges(events: DataFrame) -> DataFrame:
     turning = events.where("(type = 'BOS' and anchor_price is not null) or type = 'CHOCH'")
     turning = turning.withColumn("closed_ms", F.lead("confirmed_ms").over(W.partitionBy(*SERIES).orderBy("confirmed_ms")))
     low, high = F.least("level", "anchor_price"), F.greatest("level", "anchor_price")
-    return turning.where("type = 'BOS'").select(*SERIES, "dir", low.alias("low"), high.alias("high"), F.col("confirmed_ms").alias("opened_ms"), "closed_ms")
+    return turning.where("type = 'BOS'").select(*SERIES, "dir", low.alias("low"), high.alias("high"), F.col("confirmed_ms").alias("opened_ms"), "closed_ms", "event_ms", "level_ms")
 
 
 def range_position(price: F.Column, low: F.Column, high: F.Column, band: float = 0.02) -> list:

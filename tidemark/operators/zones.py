@@ -22,7 +22,7 @@ EQUAL_ATR, SWEEP_ATR, CONFIRM_BARS, LEVEL_AGE, ZONE_AGE = 0.10, 0.05, 2, 750, 75
 # Bars of an impulse, bars between an impulse and its break, bars a sweep may lie before an impulse.
 IMPULSE_BARS, MATCH_BARS, SWEEP_BARS = 3, 10, 5
 
-LEVEL = "side string, origin string, price double, event_ms long, created_i int"
+LEVEL = "side string, origin string, price double, event_ms long, created_i int, trigger_ms long"
 
 
 def fate(side: Column, price: Column, high: Column, low: Column, close: Column, atr: Column, sweep: float) -> Column:
@@ -76,7 +76,7 @@ class Clusters:
             q = partners[-1]
             self.clusters.append({
                 "n": len(self.clusters), "kind": p["kind"], "sign": sign, "members": [q, p], "price": sign * max(sign * q["price"], sign * p["price"]),
-                "event_ms": p["event_ms"], "anchor_i": b.i, "joined": b.close_ms, "state": "open" if self.confirm == 0 else "waiting", "created_i": b.i if self.confirm == 0 else None,
+                "event_ms": p["event_ms"], "trigger_ms": p["event_ms"], "anchor_i": b.i, "joined": b.close_ms, "state": "open" if self.confirm == 0 else "waiting", "created_i": b.i if self.confirm == 0 else None,
             })
 
     def resolve(self, b, c: dict) -> None:
@@ -90,7 +90,7 @@ class Clusters:
                 m["used"] = True
 
     def levels(self) -> list[tuple]:
-        return [("BUY_SIDE" if c["sign"] > 0 else "SELL_SIDE", "EQUAL", c["price"], c["event_ms"], c["created_i"]) for c in self.clusters if c["created_i"] is not None]
+        return [("BUY_SIDE" if c["sign"] > 0 else "SELL_SIDE", "EQUAL", c["price"], c["event_ms"], c["created_i"], c["trigger_ms"]) for c in self.clusters if c["created_i"] is not None]
 
 
 def liquidity_levels(rows: DataFrame, left: int, right: int, tolerance: float = EQUAL_ATR, sweep: float = SWEEP_ATR, confirm: int = CONFIRM_BARS, age: int = LEVEL_AGE) -> DataFrame:
@@ -98,7 +98,7 @@ def liquidity_levels(rows: DataFrame, left: int, right: int, tolerance: float =
     found = both_pivots(rows, left, right)
     side = F.when(F.col("kind") == "high", "BUY_SIDE").otherwise("SELL_SIDE")
     at = rows.select(*SERIES, F.col("close_ms").alias("confirmed_ms"), F.col("i").cast("int").alias("created_i"))
-    single = found.join(at, [*SERIES, "confirmed_ms"]).select(*SERIES, side.alias("side"), F.lit("STRUCTURAL").alias("origin"), "price", "event_ms", "created_i")
+    single = found.join(at, [*SERIES, "confirmed_ms"]).select(*SERIES, side.alias("side"), F.lit("STRUCTURAL").alias("origin"), "price", "event_ms", "created_i", F.col("event_ms").alias("trigger_ms"))
     new = found.groupBy(*SERIES, F.col("confirmed_ms").alias("close_ms")).agg(F.collect_list(F.struct("kind", "price", "event_ms", "confirmed_ms")).alias("new"))  # two at most
     bars = rows.select(*SERIES, "i", "close_ms", "high", "low", "close", "atr14").join(new, [*SERIES, "close_ms"], "left")
 
@@ -114,7 +114,7 @@ def liquidity_levels(rows: DataFrame, left: int, right: int, tolerance: float =
 
 
 def level_fates(rows: DataFrame, levels: DataFrame, sweep: float = SWEEP_ATR, age: int = LEVEL_AGE, size: int = ROWS) -> DataFrame:
-    """state, resolved_ms and resolved_open_ms of levels: the first later candle that breaks, sweeps or outlives each.
+    """levels (with trigger_ms, the pivot that began them) and state, resolved_ms and resolved_open_ms: the first later candle that breaks, sweeps or outlives each.
 
     A close beyond is a crossing of the closes; a sweep is one of the wicks less the least excursion, if it comes first.
     Rounding and closes on the level itself may let in a candle that is none: then the search goes on behind it."""
@@ -145,10 +145,10 @@ def level_fates(rows: DataFrame, levels: DataFrame, sweep: float = SWEEP_ATR, ag
     out = levels.join(ends, own, "left").join(created, [*SERIES, "created_i"])
     out = out.withColumn("old_i", F.when(F.lit(age > 0), F.col("created_i").cast("long") + age)).join(old, [*SERIES, "old_i"], "left")
     out = out.withColumn("end", F.when(F.col("end.j") <= F.coalesce("aged.j", "end.j"), F.col("end")).otherwise(F.coalesce("aged", "end")))
-    return out.select(*own, "price", "created_ms", F.coalesce("end.what", F.lit("OPEN")).alias("state"), F.col("end.at_ms").alias("resolved_ms"), F.col("end.at_open_ms").alias("resolved_open_ms"), F.col("end.j").alias("resolved_i"))
+    return out.select(*own, "price", "created_ms", "trigger_ms", F.coalesce("end.what", F.lit("OPEN")).alias("state"), F.col("end.at_ms").alias("resolved_ms"), F.col("end.at_open_ms").alias("resolved_open_ms"), F.col("end.j").alias("resolved_i"))
 
 
-BLOCK = "dir string, start_i int, end_i int, origin_i int, bottom double, top double, event_i int, event_ms long, confirmed_ms long"
+BLOCK = "dir string, start_i int, end_i int, origin_i int, bottom double, top double, event_i int, event_ms long, confirmed_ms long, origin_ms long, level_ms long"
 
 
 def impulses(bars: list, direction: str, longest: int = IMPULSE_BARS) -> list[dict]:
@@ -179,7 +179,7 @@ def order_blocks(rows: DataFrame, events: DataFrame, gaps: DataFrame, levels: Da
     out to have been closed through."""
     marks = displacements(rows).select(*SERIES, "open_ms", "direction")
     before = F.lag(F.struct("type", "dir", "event_ms")).over(W.partitionBy(*SERIES).orderBy("event_ms"))
-    breaks = events.withColumn("b", before).where("type = 'BOS'").select(*SERIES, "dir", F.col("event_ms").alias("open_ms"), "confirmed_ms", F.when((F.col("b.type") == "CHOCH") & (F.col("b.dir") == F.col("dir")), F.col("b.event_ms")).alias("reversal_ms"))
+    breaks = events.withColumn("b", before).where("type = 'BOS'").select(*SERIES, "dir", F.col("event_ms").alias("open_ms"), "confirmed_ms", "level_ms", F.when((F.col("b.type") == "CHOCH") & (F.col("b.dir") == F.col("dir")), F.col("b.event_ms")).alias("reversal_ms"))
     bars = rows.select(*SERIES, "i", "open_ms", "open", "high", "low", "close").join(marks, [*SERIES, "open_ms"], "left").join(breaks, [*SERIES, "open_ms"], "left")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,7 +194,7 @@ def order_blocks(rows: DataFrame, events: DataFrame, gaps: DataFrame, levels: Da
             if fit:
                 r = max(fit, key=lambda r: r["end"])
                 r["used"] = True
-                found.append((b.dir, r["start"], r["end"], r["origin"], r["bottom"], r["top"], i, b.open_ms, int(b.confirmed_ms)))
+                found.append((b.dir, r["start"], r["end"], r["origin"], r["bottom"], r["top"], i, b.open_ms, int(b.confirmed_ms), bars[r["origin"]].open_ms, int(b.level_ms)))
         out = pd.DataFrame(found, columns=[f.split()[0] for f in BLOCK.split(", ")])
         return of_series(out, pdf)
 
@@ -226,5 +226,5 @@ def order_blocks(rows: DataFrame, events: DataFrame, gaps: DataFrame, levels: Da
     no = F.lit(False)
     return out.withColumn("expired_ms", expired).select(
         *SERIES, "dir", "bottom", "top", "event_ms", "confirmed_ms", F.coalesce("early_touches", F.lit(0)).alias("early_touches"), "touched_ms", F.coalesce("retests", F.lit(0)).alias("retests"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("depth", F.lit(0.0)))).alias("depth"), "invalidated_ms", "expired_ms", F.coalesce("has_gap", no).alias("has_gap"), F.coalesce("has_sweep", no).alias("has_sweep"), state.alias("state"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("depth", F.lit(0.0)))).alias("depth"), "invalidated_ms", "expired_ms", F.coalesce("has_gap", no).alias("has_gap"), F.coalesce("has_sweep", no).alias("has_sweep"), state.alias("state"), "origin_ms", "level_ms",
     )

@@ -603,7 +603,7 @@ def structure_events_swing(s, d):
 @query(f"""WITH RECURSIVE {sql.HOURLY}, {sql.breaks(5, 5)}, tn AS (SELECT *, lead(confirmed_ms) OVER (PARTITION BY exchange, symbol ORDER BY confirmed_ms) AS closed_ms FROM be WHERE (type = 'BOS' AND anchor_price IS NOT NULL) OR type = 'CHOCH')
   SELECT exchange, symbol, timeframe, dir, round(least(level, anchor_price), 6) AS low, round(greatest(level, anchor_price), 6) AS high, confirmed_ms AS opened_ms, closed_ms FROM tn WHERE type = 'BOS'""")
 def dealing_ranges(s, d):
-    return rounded(structure.dealing_ranges(structure.structure_events(structure.horizon(hourly(s, d)), 5, 5)))
+    return rounded(structure.dealing_ranges(structure.structure_events(structure.horizon(hourly(s, d)), 5, 5)).drop("event_ms", "level_ms"))
 
 
 @query(f"""WITH RECURSIVE {sql.HOURLY}, {sql.breaks(5, 5)}, pv AS ({sql.pivots(5, 5, 'high')} UNION ALL {sql.pivots(5, 5, 'low')})

@@ -27,8 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settled(df: DataFrame) -> DataFrame:
     """df, worked out and written to the shared folder as a table: plans stay small, lost executors lose nothing, and its
-    columns are its own, whatever df was made of."""
+    columns are its own, whatever df was made of. The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
