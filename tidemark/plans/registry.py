@@ -721,7 +721,7 @@ def structure_reasons(s, d):
 CUSTOM = {"ema": (10, 30, 100), "rsi": 7, "macd": (6, 13, 5), "atr": 10, "volume": 10}
 
 
-@query()
+@query(f"WITH RECURSIVE {sql.HOURLY}, {sql.recursive(sql.cut(300), CUSTOM)} {TREND_SQL} SELECT t3.exchange, t3.symbol, '1h' AS timeframe, t3.open_ms, 'evaluated' AS status, NULL::VARCHAR AS reason, long_score, short_score, direction FROM t3 JOIN i USING (exchange, symbol, open_ms) WHERE rn = n AND n >= 200")
 def trend_score_custom_periods(s, d):
     c = hourly(s, d)
     return evaluation.evaluate_custom(ind.snapshots(c), c, CUSTOM)

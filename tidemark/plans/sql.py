@@ -32,27 +32,35 @@ ASSETS = """v AS (SELECT base AS symbol, coalesce(sum(CASE WHEN quote_volume > 0
   a AS (SELECT *, row_number() OVER (ORDER BY score DESC, symbol) AS rank FROM s)"""
 
 
-def recursive(source: str) -> str:
-    """All recursive indicators of `source` (exchange, timeframe, open_ms, high, low, close, volume) in one pass."""
+STANDARD = {"ema": (20, 50, 200), "rsi": 14, "macd": (12, 26, 9), "atr": 14, "volume": 20}
+
+
+def recursive(source: str, periods: dict = STANDARD) -> str:
+    """All recursive indicators of `source` (exchange, timeframe, open_ms, high, low, close, volume) in one pass. Columns
+    keep the names of the standard periods."""
+    fast, slow, signal = periods["macd"]
+    named = tuple(zip(("e12", "ema20", "e26", "ema50", "ema200"), (fast, periods["ema"][0], slow, *periods["ema"][1:])))
     ema = lambda n, p: f"CASE WHEN x.rn = {p} THEN x.sma{p} WHEN x.rn > {p} THEN (x.close - r.{n}) * 2.0 / {p + 1} + r.{n} END"
-    means = ", ".join(f"avg(close) OVER (PARTITION BY exchange, symbol ORDER BY open_ms ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) AS sma{p}" for p in (12, 20, 26, 50, 200))
-    emas = ", ".join(f"{ema(n, p)} AS {n}" for n, p in (("e12", 12), ("ema20", 20), ("e26", 26), ("ema50", 50), ("ema200", 200)))
-    first = ", ".join(f"NULL::DOUBLE AS {n}" for n in ("e12", "ema20", "e26", "ema50", "ema200"))
-    run = lambda n, v: f"CASE WHEN x.rn = 15 THEN x.{v}14 WHEN x.rn > 15 THEN (r.{n} * 13 + x.{v}) / 14 END AS {n}"
-    mean14 = ", ".join(f"avg({v}) OVER w14 AS {v}14" for v in ("gain", "loss", "tr"))
+    means = ", ".join(f"avg(close) OVER (PARTITION BY exchange, symbol ORDER BY open_ms ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) AS sma{p}" for p in sorted({p for _, p in named}))
+    emas = ", ".join(f"{ema(n, p)} AS {n}" for n, p in named)
+    first = ", ".join(f"NULL::DOUBLE AS {n}" for n, _ in named)
+    run = lambda n, v, p: f"CASE WHEN x.rn = {p + 1} THEN x.{v}_mean WHEN x.rn > {p + 1} THEN (r.{n} * {p - 1} + x.{v}) / {p} END AS {n}"
+    wilder = {"gain": periods["rsi"], "loss": periods["rsi"], "tr": periods["atr"]}
+    begun = ", ".join(f"avg({v}) OVER (PARTITION BY exchange, symbol ORDER BY open_ms ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) AS {v}_mean" for v, p in wilder.items())
+    volume = periods["volume"]
     return f"""d AS (SELECT *, row_number() OVER w AS rn, greatest(close - lag(close) OVER w, 0) AS gain, greatest(lag(close) OVER w - close, 0) AS loss,
       CASE WHEN lag(close) OVER w IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr
       FROM ({source}) WINDOW w AS (PARTITION BY exchange, symbol ORDER BY open_ms)),
-    x AS (SELECT *, count(*) OVER (PARTITION BY exchange, symbol) AS n, {means}, {mean14},
-      CASE WHEN rn >= 20 THEN avg(volume) OVER (PARTITION BY exchange, symbol ORDER BY open_ms ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS volume_mean
-      FROM d WINDOW w14 AS (PARTITION BY exchange, symbol ORDER BY open_ms ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+    x AS (SELECT *, count(*) OVER (PARTITION BY exchange, symbol) AS n, {means}, {begun},
+      CASE WHEN rn >= {volume} THEN avg(volume) OVER (PARTITION BY exchange, symbol ORDER BY open_ms ROWS BETWEEN {volume - 1} PRECEDING AND CURRENT ROW) END AS volume_mean
+      FROM d),
     r AS (SELECT exchange, symbol, rn, {first}, NULL::DOUBLE AS ag, NULL::DOUBLE AS al, NULL::DOUBLE AS atr14 FROM x WHERE rn = 1
-      UNION ALL SELECT x.exchange, x.symbol, x.rn, {emas}, {run('ag', 'gain')}, {run('al', 'loss')}, {run('atr14', 'tr')} FROM r JOIN x ON x.exchange = r.exchange AND x.symbol = r.symbol AND x.rn = r.rn + 1),
-    l AS (SELECT x.*, r.ema20, r.ema50, r.ema200, r.atr14, CASE WHEN r.al = 0 THEN 100 ELSE 100 - 100 / (1 + r.ag / r.al) END AS rsi14, CASE WHEN x.n >= 35 THEN r.e12 - r.e26 END AS macd
+      UNION ALL SELECT x.exchange, x.symbol, x.rn, {emas}, {run('ag', 'gain', wilder['gain'])}, {run('al', 'loss', wilder['loss'])}, {run('atr14', 'tr', wilder['tr'])} FROM r JOIN x ON x.exchange = r.exchange AND x.symbol = r.symbol AND x.rn = r.rn + 1),
+    l AS (SELECT x.*, r.ema20, r.ema50, r.ema200, r.atr14, CASE WHEN r.al = 0 THEN 100 ELSE 100 - 100 / (1 + r.ag / r.al) END AS rsi14, CASE WHEN x.n >= {slow + signal} THEN r.e12 - r.e26 END AS macd
       FROM x JOIN r ON x.exchange = r.exchange AND x.symbol = r.symbol AND x.rn = r.rn),
-    l9 AS (SELECT *, avg(macd) OVER (PARTITION BY exchange, symbol ORDER BY rn ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS macd9 FROM l),
-    g AS (SELECT exchange, symbol, rn, macd9 AS macd_signal FROM l9 WHERE rn = 34 AND n >= 35
-      UNION ALL SELECT l9.exchange, l9.symbol, l9.rn, (l9.macd - g.macd_signal) * 2.0 / 10 + g.macd_signal FROM g JOIN l9 ON l9.exchange = g.exchange AND l9.symbol = g.symbol AND l9.rn = g.rn + 1),
+    l9 AS (SELECT *, avg(macd) OVER (PARTITION BY exchange, symbol ORDER BY rn ROWS BETWEEN {signal - 1} PRECEDING AND CURRENT ROW) AS macd9 FROM l),
+    g AS (SELECT exchange, symbol, rn, macd9 AS macd_signal FROM l9 WHERE rn = {slow + signal - 1} AND n >= {slow + signal}
+      UNION ALL SELECT l9.exchange, l9.symbol, l9.rn, (l9.macd - g.macd_signal) * 2.0 / {signal + 1} + g.macd_signal FROM g JOIN l9 ON l9.exchange = g.exchange AND l9.symbol = g.symbol AND l9.rn = g.rn + 1),
     i AS (SELECT l.*, g.macd_signal, l.macd - g.macd_signal AS macd_hist, CASE WHEN l.volume_mean > 0 THEN l.volume / l.volume_mean END AS volume_ratio
       FROM l LEFT JOIN g ON l.exchange = g.exchange AND l.symbol = g.symbol AND l.rn = g.rn)"""
 
