@@ -15,6 +15,7 @@ from tidemark.operators import asof, decision, evaluation, facts, journal, pagin
 from tidemark.plans import sql
 from tidemark.sources import bridge, connector, upserts
 from tidemark.sources.tables import settled, shared_dir
+from tidemark.streaming import series
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -496,6 +497,25 @@ def recorded_candles(s, d):
     return read.select(back.alias("exchange"), "symbol", "open_ms", "open", "high", "low", "close", "volume", "closed")
 
 
+def streamed(s, candles, make, parts=3):
+    """What a stream makes of candles that come in parts, the query being stopped after each and started again."""
+    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    candles = settled(candles)
+    low, high = candles.agg(F.min("open_ms"), F.max("open_ms")).first()
+    for k in range(parts):
+        step = (high - low) // parts + 1
+        candles.where(F.col("open_ms").between(low + k * step, low + (k + 1) * step - 1)).write.mode("append").parquet(f"{folder}/in")
+        made = make(s.readStream.schema(candles.schema).parquet(f"{folder}/in"))
+        made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(made.schema).parquet(f"{folder}/out")
+
+
+@query(WITH_I + "SELECT exchange, symbol, open_ms, " + ", ".join(f"round({c}, 6) AS {c}" if not c.startswith("macd") else f"round(CASE WHEN rn >= 35 THEN {c} END, 6) AS {c}" for c in SCANNED) + " FROM i")
+def streamed_indicators(s, d):
+    """Indicators of a stream with state, across restarts."""
+    return rounded(streamed(s, hourly(s, d).where("closed").drop("now_ms"), series.indicator_stream).select("exchange", "symbol", "open_ms", *SCANNED))
+
+
 # Structure
 
 
@@ -600,6 +620,12 @@ def structure_events_swing(s, d):
     return rounded(structure.structure_events(structure.horizon(hourly(s, d)), 20, 20))
 
 
+@query(f"WITH RECURSIVE {sql.HOURLY}, {sql.breaks(5, 5)} SELECT * REPLACE (round(level, 6) AS level, round(anchor_price, 6) AS anchor_price) FROM be")
+def streamed_structure(s, d):
+    """Breaks of structure of a stream with state, across restarts."""
+    return rounded(streamed(s, structure.horizon(hourly(s, d)).drop("now_ms", "i", "close_ms"), lambda c: series.structure_stream(c, 5, 5)))
+
+
 @query(f"""WITH RECURSIVE {sql.HOURLY}, {sql.breaks(5, 5)}, tn AS (SELECT *, lead(confirmed_ms) OVER (PARTITION BY exchange, symbol ORDER BY confirmed_ms) AS closed_ms FROM be WHERE (type = 'BOS' AND anchor_price IS NOT NULL) OR type = 'CHOCH')
   SELECT exchange, symbol, timeframe, dir, round(least(level, anchor_price), 6) AS low, round(greatest(level, anchor_price), 6) AS high, confirmed_ms AS opened_ms, closed_ms FROM tn WHERE type = 'BOS'""")
 def dealing_ranges(s, d):
