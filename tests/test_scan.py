@@ -61,3 +61,15 @@ def test_one_long_series(spark):
     rows = series(8, 200_000, gaps=0.0)
     got = same(spark, rows, ind.PERIODS, 10_000)
     assert len(got) > 190_000
+
+
+@pytest.mark.parametrize("batch", [50, 200])
+def test_batches_that_end_where_the_head_does(spark, batch):
+    """The head of a series has 200 candles, and a batch of 50 or 200 rows ends with it, amid a chunk."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        same(spark, series(9, 420, gaps=0.0), ind.PERIODS, 300)
+    finally:
+        spark.conf.set(name, before)

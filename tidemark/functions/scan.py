@@ -120,22 +120,22 @@ def indicators_in_chunks(candles: DataFrame, periods: dict = PERIODS, rows: int
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each chunk: its first candles that belong to the head, its other candles' map, its last volumes."""
-        out, state, at = [], None, 0
+        out, state, at, last = [], None, 0, np.nan
         for run, new in pieces(batches):
             if new:
-                out, state, at = out + [{c: run[c].iloc[0] for c in CHUNK} | {"head": [], "n": 0, "volumes": []}], None, int(run["start"].iloc[0])
+                out, state, at, last = out + [{c: run[c].iloc[0] for c in CHUNK} | {"head": [], "n": 0, "volumes": []}], None, int(run["start"].iloc[0]), run["before"].iloc[0]
             own = out[-1]
             first = max(0, min(head - at, len(run)))
             own["head"] += run[["high", "low", "close"]].iloc[:first].to_numpy().tolist()
             if first < len(run):
                 if state is None:
-                    before = run["before"].iloc[0] if first == 0 else run["close"].iloc[first - 1]
-                    state = from_zero(periods, before)
+                    # A batch may end where the head does: the close before is then that of the chunk's run before.
+                    state = from_zero(periods, last if first == 0 else run["close"].iloc[first - 1])
                 rest = run.iloc[first:]
                 state.feed(*(rest[c].to_numpy() for c in ("high", "low", "close")))
                 own["n"] += len(rest)
                 own["ends"] = [0.0 if s.state is None else s.state for s in smoothers(state)]
-            own["last"] = float(run["close"].iloc[-1])
+            own["last"] = last = float(run["close"].iloc[-1])
             own["volumes"] = (own["volumes"] + run["volume"].tolist())[-halo:] if halo else []
             at += len(run)
         if out:
