@@ -378,6 +378,25 @@ def test_line_dedup_at_random(spark, seed):
     check_lines(spark, [(i, "\n".join(lines[i :: 40])) for i in range(40)])
 
 
+@pytest.mark.parametrize("words", [1, 3, 5, 9, 10, 14])
+def test_line_dedup_one_character_apart(spark, words):
+    """Lines of 65 characters and over are found whatever their words, if one character is replaced, added or missing."""
+    draw = random.Random(words)
+    pairs = []
+    for size in (64, 65, 66, 200):
+        base = list("".join(draw.choice("abcdefghijklmnop") for _ in range(size)))
+        for k in range(1, words):
+            base[k * size // words] = " "
+        for at in (1, size // 2, size // words - 1, size - 2):
+            for new in ("", "q", " " + base[at], "q" + base[at]):
+                other = "".join([*base[:at], new, *base[at + 1 :]])
+                tag = f"{len(pairs):03d}"  # so that pairs are told apart
+                pairs.append((f"{tag}{''.join(base)}", f"{tag}{other}"))
+    docs = [p[0] for p in pairs] + [p[1] for p in pairs]
+    dropped = {r.doc_id: r.n_dropped for r in line_dedup.line_report(frame(spark, docs)).collect()}
+    assert [i for i in range(len(pairs)) if docs[i] != docs[i + len(pairs)] and not dropped[i + len(pairs)]] == []
+
+
 def test_line_dedup_of_a_line_of_a_megabyte(spark):
     big = [f"q{i % 7919}x{i}" for i in range(90_000)]
     docs = [" ".join(x) for x in (big, big[:60_000] + ["zz"] + big[60_001:], big[3:], big[5:40_000] + big[40_001:])]

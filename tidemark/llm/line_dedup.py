@@ -2,8 +2,10 @@
 
 Lines are compared trimmed and in lower case; blank ones are left alone. Two lines are near copies if one run of symbols
 stands in each where they differ, and all else is equal: symbols are words, and a run has at most a fifth of its line's
-words and at most three; in lines of up to CHARS characters symbols are characters too, and a run has one at most. So one
-to three neighbouring words may be replaced, added or missing, wherever they stand. That is the edit bound: near copies
+words and at most three; symbols are characters too, and a run has one at most. Either takes lines of five symbols or more.
+So one character, or one to three neighbouring words, may be replaced, added or missing, wherever they stand, in lines of any
+length. In lines of ten words or more two words are a fifth, so that what is one character apart is a run of words apart as
+well; characters are therefore looked at in shorter lines, and in those of up to CHARS characters. That is the edit bound: near copies
 within it are all found, whatever the length of the lines, and others are not sought. A line goes if an earlier one (by
 document id, hash of the text, place) is a copy or a near copy of it, even if that one goes as well.
 
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import free_name, need, sent_if_small, written
 
-#: Symbols of a run: one in SHARE of the line's, at most MOST words or one character; characters of a line that is
-#: compared by characters as well.
+#: Symbols of a run: one in SHARE of the line's, at most MOST words or one character; characters up to which a line is
+#: compared by characters as well, whatever its words.
 SHARE, MOST, CHARS = 5, 3, 64
 PLACE = ["id", "th", "line"]
 
@@ -62,7 +64,7 @@ def with_halves(lines: DataFrame) -> DataFrame:
     4 * kind + 2 * side + lower. Lengths are columns of their own, so that none is worked out again where it is used."""
     rows = lines.withColumn("words", F.split("key", " "))
     rows = rows.withColumns({"n0": F.size("words"), "n1": F.length("key")})
-    used = F.col("n0") >= SHARE, F.col("n1").between(SHARE, CHARS)
+    used = F.col("n0") >= SHARE, (F.col("n1") >= SHARE) & ((F.col("n1") <= CHARS) | (F.col("n0") < 2 * SHARE))
     rows = rows.withColumns({f"h{k}{low}": F.when(used[k], half_length(F.col(f"n{k}"), most, low)) for k, most in enumerate(RUNS) for low in (0, 1)})
     first = ("slice(words, 1, h)", "substring(key, 1, h)")
     last = ("slice(words, n0 - h + 1, h)", "substring(key, n1 - h + 1, h)")
