@@ -62,15 +62,16 @@ def half_length(n: Column, most: int, lower: int) -> Column:
 def with_halves(lines: DataFrame) -> DataFrame:
     """lines (with key), n0 and n1 (words and characters) and `halves`: hashes of first and last symbols, at place
     4 * kind + 2 * side + lower. Lengths are columns of their own, so that none is worked out again where it is used."""
-    rows = lines.withColumn("words", F.split("key", " "))
-    rows = rows.withColumns({"n0": F.size("words"), "n1": F.length("key")})
+    spaces = F.octet_length("key") - F.octet_length(F.replace("key", F.lit(" "), F.lit("")))
+    rows = lines.withColumns({"n0": spaces + 1, "n1": F.length("key")})
     used = F.col("n0") >= SHARE, (F.col("n1") >= SHARE) & ((F.col("n1") <= CHARS) | (F.col("n0") < 2 * SHARE))
     rows = rows.withColumns({f"h{k}{low}": F.when(used[k], half_length(F.col(f"n{k}"), most, low)) for k, most in enumerate(RUNS) for low in (0, 1)})
-    first = ("slice(words, 1, h)", "substring(key, 1, h)")
-    last = ("slice(words, n0 - h + 1, h)", "substring(key, n1 - h + 1, h)")
+    # Words are taken as text, as splitting a line costs more than all else here.
+    first = ("substring_index(key, ' ', h)", "substring(key, 1, h)")
+    last = ("substring_index(key, ' ', -h)", "substring(key, n1 - h + 1, h)")
     # Lambdas, as a plain array of eight hashes makes one method too long for the JVM to compile.
     each = [f"transform(array(h{k}0, h{k}1), h -> if(h is null, null, xxhash64({k}, {side}, h, {part[k]})))" for k in (0, 1) for side, part in enumerate((first, last))]
-    return rows.withColumn("halves", F.expr(f"concat({', '.join(each)})")).drop("words", "h00", "h01", "h10", "h11")
+    return rows.withColumn("halves", F.expr(f"concat({', '.join(each)})")).drop("h00", "h01", "h10", "h11")
 
 
 def shown_halves(distinct: DataFrame) -> DataFrame:
@@ -97,10 +98,12 @@ def variants(some: DataFrame) -> DataFrame:
     each = each.withColumn("x", hashed(F.col("k"))).withColumn("y", hashed(F.col("k") - F.col("n"))).drop("symbol")
     left, gone = F.coalesce(F.bit_xor("x").over(before), zero), F.coalesce(F.bit_xor("y").over(before), zero)
     each = each.withColumn("left", left).withColumn("right", F.bit_xor("y").over(line).bitwiseXOR(gone)).drop("x", "y")
+    # No more runs than are in question; the outer kind, as for the other Spark adds a filter that works them out twice.
     runs = F.array(*[F.struct(F.lit(r).alias("r"), (F.col("right") if r == 0 else F.lead("right", r).over(line.orderBy("k"))).alias("right")) for r in range(MOST + 1)])
-    rows = each.withColumn("runs", runs).select("a", *PLACE, "kind", "head", "tail", "n", "reach", "k", "left", F.explode("runs").alias("run"))
+    runs = F.slice(runs, F.lit(1), F.col("reach") + 1)
+    rows = each.withColumn("runs", runs).select("a", *PLACE, "kind", "head", "tail", "n", "k", "left", F.explode_outer("runs").alias("run"))
     q = F.col("n") - F.col("k") - F.col("run.r")
-    rows = rows.where((F.col("run.r") <= F.col("reach")) & (q >= 0)).withColumn("q", q)
+    rows = rows.where(q >= 0).withColumn("q", q)
     # A run lies outside the half that is shared.
     rows = rows.where((F.col("k") >= F.col("head")) | (F.col("q") >= F.col("tail")))
     return rows.select(F.xxhash64("kind", "k", "q", "left", "run.right").alias("v"), "a", *PLACE, "kind", F.col("k").alias("p"), "q")
