@@ -397,6 +397,17 @@ def test_line_dedup_one_character_apart(spark, words):
     assert [i for i in range(len(pairs)) if docs[i] != docs[i + len(pairs)] and not dropped[i + len(pairs)]] == []
 
 
+def test_line_dedup_sends_hashes_alone(spark, monkeypatch):
+    """What is sent to every executor, and so held by the driver, for near copies: one long a row."""
+    sent = []
+    monkeypatch.setattr(line_dedup, "sent_if_small", lambda df, *a, **b: sent.append([kind for _, kind in df.dtypes]) or df)
+    docs = line_dedup.with_hash(frame(spark, ["alpha beta gamma delta epsilon", "alpha beta gamma delta epsilom", "none"]), "doc_id", "text")
+    rows = line_dedup.with_halves(line_dedup.numbered_lines(docs))
+    distinct = rows.selectExpr("xxhash64(key) a", "struct(id, th, line) first", "n0", "n1", "halves")
+    assert line_dedup.near_copies(docs, distinct).count() == 1
+    assert sent and all(kinds == ["bigint"] for kinds in sent)
+
+
 def test_line_dedup_of_a_line_of_a_megabyte(spark):
     big = [f"q{i % 7919}x{i}" for i in range(90_000)]
     docs = [" ".join(x) for x in (big, big[:60_000] + ["zz"] + big[60_001:], big[3:], big[5:40_000] + big[40_001:])]

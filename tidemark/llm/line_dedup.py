@@ -121,12 +121,16 @@ def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     found = shown.join(sent_if_small(written(shared, "shared-halves")), "h", "left_semi")
     length = lambda side: F.min(F.when(side, F.abs("at")))
     going = written(found.groupBy("a", *PLACE, "kind").agg(length(F.col("at") > 0).alias("head"), length(F.col("at") < 0).alias("tail")), "lines-that-share")
-    holders = sent_if_small(going.select("id", "th").distinct())
-    some = docs.alias("d").join(holders.alias("h"), F.expr("d.id <=> h.id and d.th = h.th"), "left_semi")
-    texts = numbered_lines(some).alias("t").join(sent_if_small(going).alias("g"), same_line("t", "g"))
+    # Hashes alone are sent to every executor, as the driver holds what is sent, and rows take far more; what hashes let
+    # through besides goes in the join by place. As a struct, as a null id is an id.
+    holders = sent_if_small(going.select(F.xxhash64("id", "th").alias("hash")).distinct())
+    some = docs.join(holders, F.xxhash64("id", "th") == F.col("hash"), "left_semi")
+    places = sent_if_small(going.select(F.xxhash64(*PLACE).alias("hash")).distinct())
+    texts = numbered_lines(some).join(places, F.xxhash64(*PLACE) == F.col("hash"), "left_semi")
+    texts = texts.select(F.struct(*PLACE).alias("place"), "key").alias("t").join(going.withColumn("place", F.struct(*PLACE)).alias("g"), F.expr("t.place = g.place"))
     symbols = F.when(F.col("kind") == 0, F.split("key", " ")).otherwise(F.split("key", ""))
-    some = texts.select(*[f"g.{c}" for c in PLACE], "kind", "a", "head", "tail", symbols.alias("symbols"))
-    some = written(some.dropDuplicates([*PLACE, "kind"]), "lines-with-symbols")  # of rows of one id and text
+    some = texts.select("g.place", *[f"g.{c}" for c in PLACE], "kind", "a", "head", "tail", symbols.alias("symbols"))
+    some = written(some.dropDuplicates(["place", "kind"]).drop("place"), "lines-with-symbols")  # of rows of one id and text
     keys = variants(some.repartition("a"))
     met = keys.groupBy("v").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("v")
     hits = written(keys.join(sent_if_small(written(met, "shared-variants")), "v"), "hits")
